@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerloom.llm import mixing, quality, secret_scan
+from kmerloom.llm import mixing, near_dup, quality, secret_scan
 from kmerloom.llm.common import saved
 from kmerloom.llm.queries import table
 
@@ -20,6 +20,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs, model)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group."""
+    return near_dup.drop_duplicates(docs)
+
+
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark; keeps every document."""
     return secret_scan.redact_documents(docs)
@@ -32,6 +37,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality_stage),
+    ("near-duplicates", near_duplicate_stage),
     ("secrets", secrets_stage),
     ("mixing", mixing_stage),
 ]

@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+
+from ..functions.arrow import sliding_min, utf8  # noqa: F401
 
 PIECE = 1 << 20
 U = np.uint64
@@ -28,24 +29,12 @@ _INVERSE = pow(BASE, -1, 2**64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets of a string or binary column; null is empty."""
-    column = column.cast(pa.large_string() if pa.types.is_string(column.type) else pa.large_binary()) if not pa.types.is_large_string(column.type) and not pa.types.is_large_binary(column.type) else column
-    if column.null_count:
-        column = pc.fill_null(column, "" if pa.types.is_large_string(column.type) else b"")
-    if not len(column):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
-
-
 def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) of runs of whole rows."""
+    """(first row, end row, bytes, offsets from 0) of runs of whole rows, at most 65,535 of them; null is empty."""
     data, offsets = utf8(column)
     low, n = 0, len(offsets) - 1
     while low < n:
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1)
+        high = max(low + 1, min(low + 65_535, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1))
         yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
 
@@ -121,14 +110,5 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each window of width values."""
-    have, out = 1, values
-    while 2 * have <= width:
-        out = np.minimum(out[:-have], out[have:])
-        have *= 2
-    return np.minimum(out[: len(values) - width + 1], out[width - have :]) if have < width else out
-
-
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, license_scan, mixing, quality, secret_scan, toxicity
+from . import chat, license_scan, mixing, near_dup, quality, secret_scan, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, quality.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op4_secret_scan": op4_secret_scan,
@@ -53,9 +57,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mix_sources": op7_mix_sources,
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
+_SHINGLES = """docs as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
+sets as (select doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from docs)"""
+
 ORACLE: dict[str, str] = {
+    "op10_near_duplicates": f"""
+with recursive {_SHINGLES},
+classes as (select min(doc_id) as rep, any_value(s) as s from sets where len(s) > 0 group by list_sort(s)),
+member as (select sets.doc_id, classes.rep from sets join classes on list_sort(sets.s) = list_sort(classes.s)),
+each as (select rep, len(s) as n, unnest(s) as g from classes),
+inter as (select a.rep as a, b.rep as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as k from each a join each b on a.g = b.g and a.rep < b.rep where 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by 1, 2),
+links as (select a, b from inter where 100 * k >= 85 * (na + nb - k)),
+both as (select a, b from links union select b, a from links),
+reach as (select rep as node, rep as label from classes union select both.b, reach.label from reach join both on both.a = reach.node where reach.label < both.b),
+label as (select node, min(label) as component from reach group by node)
+select sets.doc_id, len(s)::bigint as n_shingles, coalesce(component, sets.doc_id) as component_id, coalesce(component, sets.doc_id) = sets.doc_id as kept
+from sets left join member using (doc_id) left join label on label.node = member.rep""",
     "op8_chat_format": """
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
