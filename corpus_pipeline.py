@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerloom.llm import mixing, near_dup, quality, secret_scan
+from kmerloom.llm import decontam, mixing, near_dup, quality, secret_scan
 from kmerloom.llm.common import saved
 from kmerloom.llm.queries import table
 
@@ -25,6 +25,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return near_dup.drop_duplicates(docs)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark; keeps every document."""
     return secret_scan.redact_documents(docs)
@@ -38,6 +43,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality_stage),
     ("near-duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
     ("secrets", secrets_stage),
     ("mixing", mixing_stage),
 ]

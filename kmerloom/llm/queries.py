@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, license_scan, mixing, near_dup, quality, secret_scan, toxicity
+from . import chat, decontam, license_scan, mixing, near_dup, quality, secret_scan, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents, license_scan.train(documents))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op3_decontamination": op3_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op6_toxicity": op6_toxicity,
     "op7_mix_sources": op7_mix_sources,
@@ -71,8 +76,8 @@ member as (select sets.doc_id, classes.rep from sets join classes on list_sort(s
 each as (select rep, len(s) as n, unnest(s) as g from classes),
 inter as (select a.rep as a, b.rep as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as k from each a join each b on a.g = b.g and a.rep < b.rep where 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by 1, 2),
 links as (select a, b from inter where 100 * k >= 85 * (na + nb - k)),
-both as (select a, b from links union select b, a from links),
-reach as (select rep as node, rep as label from classes union select both.b, reach.label from reach join both on both.a = reach.node where reach.label < both.b),
+pairs as (select a, b from links union select b, a from links),
+reach as (select rep as node, rep as label from classes union select pairs.b, reach.label from reach join pairs on pairs.a = reach.node where reach.label < pairs.b),
 label as (select node, min(label) as component from reach group by node)
 select sets.doc_id, len(s)::bigint as n_shingles, coalesce(component, sets.doc_id) as component_id, coalesce(component, sets.doc_id) = sets.doc_id as kept
 from sets left join member using (doc_id) left join label on label.node = member.rep""",
