@@ -18,12 +18,12 @@ from .common import clean_texts, map_arrow
 from .quality import labelled
 
 #: Labelled rows of each class that training reads at most; scoring covers every row.
-SAMPLE = 1500
+SAMPLE = 2000
 GRADES = 4
 #: Documents whose expected severity is higher count as toxic.
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 #: A word is a feature if it is in at least so many rows of the sample, and the likelihood-ratio statistic of its association with toxic rows is at least MIN_G.
-MIN_ROWS, MIN_G = 5, 20.0
+MIN_ROWS, MIN_G = 3, 11.0
 
 _LETTERS = K.LOWER.copy()
 _LETTERS[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
@@ -105,7 +105,7 @@ def fit(texts: list[str | None], y: np.ndarray) -> Model | None:
     return Model(keys, *cumulative_link(row, column, np.log1p(count), grade, len(keys)))
 
 
-def cumulative_link(row, column, value, grade, width, steps: int = 400, rate: float = 0.05, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def cumulative_link(row, column, value, grade, width, steps: int = 600, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds, by Adam on the mean negative log-likelihood; thresholds are t_1 and positive gaps."""
     n, cuts = len(grade), GRADES - 1
     theta = np.concatenate((np.zeros(width), [1.0], np.full(cuts - 1, np.log(0.5))))
