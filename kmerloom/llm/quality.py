@@ -49,10 +49,12 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, limit: int) ->
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """None if the labels hold a class with fewer than 8 rows: then no row is rejected by the model."""
     rows = labelled(documents, labels, "quality", sample)
-    return fit([t for t, _ in rows], np.array([y for _, y in rows]))
+    whole = {r["quality"]: r["n"] for r in labels.where(F.col("quality").isin(0, 1)).groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return fit([t for t, _ in rows], np.array([y for _, y in rows]), (whole.get(0, 0), whole.get(1, 0)))
 
 
-def fit(texts: list[str], y: np.ndarray) -> Model | None:
+def fit(texts: list[str], y: np.ndarray, whole: tuple[int, int] | None = None) -> Model | None:
+    """``whole``: numbers of bad and good rows among all labels; probabilities are calibrated to their shares, not to the sample's."""
     if min((y == 0).sum(), (y == 1).sum(), len(y)) < 8:
         return None
     held = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) % 4 == 0  # a quarter of each class
@@ -61,7 +63,10 @@ def fit(texts: list[str], y: np.ndarray) -> Model | None:
     w, _ = L.fit_logistic(L.matrix(data, offsets, SPEC), y[~held], size)
     weights = w.reshape(SPEC.families, -1).astype(np.float32)
     data, offsets = L.texts_of([t for t, h in zip(texts, held) if h])
-    return Model(weights, *L.platt(L.raw_scores(data, offsets, SPEC, weights), y[held]))
+    a, b = L.platt(L.raw_scores(data, offsets, SPEC, weights), y[held])
+    if whole and min(whole):
+        b += np.log(whole[1] / whole[0]) - np.log((y == 1).sum() / (y == 0).sum())
+    return Model(weights, a, b)
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
