@@ -57,3 +57,8 @@ def stream_arrow(frame: DataFrame, schema: str, function: Callable[[Iterator[pa.
 def clean_texts(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Id as long and text as string under fixed names, whatever other columns there are."""
     return documents.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+
+
+def joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A sort-merge join: for sides that grow with the corpus, so that none is ever broadcast."""
+    return left.join(right.hint("merge"), on, how)

@@ -5,10 +5,11 @@ minimum are kept, packed, and their agreement (corrected for chance) estimates t
 that may reach the threshold are confirmed on the full sets.
 
 Equal sets are one class, so copies are never paired. In a bucket every class is first paired with the bucket's least
-one, which links large groups by stars. What is left in other components of a bucket is then paired with the partners
-most alike of larger components, a few in the first round and more in each later one, and all at last, until no
-untested pair between components may reach the threshold. So no group is ever expanded into all its pairs, and no link
-that would join two components is lost.
+one, which links large groups by stars. Buckets that still hold several components are then read again with their texts:
+documents of different components that share one of their rarest shingles (the prefix that two similar sets must share)
+and whose estimate may reach the threshold are compared on their full sets, unless links found meanwhile join them. Only
+links leave this step, so no group is ever expanded into all its pairs, and no link that would join two components is
+lost.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import clean_texts, map_arrow, partitions, saved, stream_arrow
+from .common import clean_texts, joined, map_arrow, partitions, saved, stream_arrow
 
 WORDS = 5
 MINIMA, BITS, BANDS, ROWS = 128, 4, 48, 6
@@ -142,44 +143,86 @@ def stars(buckets: DataFrame, n: int) -> DataFrame:
     return stream_arrow(dealt, "a long, b long", run).distinct()
 
 
-def crossing(rows: DataFrame, least: float, partners: int, n: int) -> DataFrame:
-    """(a, b) for documents of different components in a bucket: each with the untested ones most alike of larger components, ``partners`` in each, as far as their estimate reaches ``least``.
+class Forest:
+    def __init__(self, labels: np.ndarray):
+        first: dict[int, int] = {}
+        self.up = [first.setdefault(c, i) for i, c in enumerate(labels.tolist())]
 
-    Rows come in cells (see ``cells``), which are bounded however large a bucket is.
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        self.up[self.root(i)] = self.root(j)
+
+
+def links_within(component: np.ndarray, sig: np.ndarray, keys: np.ndarray, bounds: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows whose links join the components as all links among the rows would.
+
+    Sets with 100 * intersection >= percent * union share one of their n - ceil(percent * n / 100) + 1 rarest shingles.
     """
+    size = np.diff(bounds)
+    row = np.repeat(np.arange(len(size)), size)
+    _, kind, times = np.unique(keys, return_inverse=True, return_counts=True)
+    order = np.lexsort((kind, times[kind], row))
+    turn = np.arange(len(row)) - bounds[row]
+    head = turn < (size - (percent * size + 99) // 100 + 1)[row]
+    token, owner = kind[order][head], row[head]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    cuts = np.append(np.flatnonzero(np.diff(token, prepend=-1)), len(token))
+    forest, least, tested, out = Forest(component), percent / 100 - MARGIN, set(), []
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if high - low < 2:
+            continue
+        docs = owner[low:high]
+        roots = np.array([forest.root(i) for i in docs.tolist()])
+        if (roots == roots[0]).all():
+            continue
+        kinds, where, count = np.unique(roots, return_inverse=True, return_counts=True)
+        main = kinds[count.argmax()]
+        for i in docs[roots != main].tolist():
+            own = forest.root(i)
+            good = docs[(_similarities(sig[docs], sig[i]) >= least) & (100 * np.minimum(size[docs], size[i]) >= percent * np.maximum(size[docs], size[i]))]
+            for j in good.tolist():
+                pair = (i, j) if i < j else (j, i)
+                if pair in tested or forest.root(j) == own:
+                    continue
+                tested.add(pair)
+                both = np.concatenate((keys[bounds[i] : bounds[i + 1]], keys[bounds[j] : bounds[j + 1]]))
+                both.sort()
+                inner = int((both[1:] == both[:-1]).sum())
+                if 100 * inner >= percent * (len(both) - inner):
+                    forest.join(i, j)
+                    own = forest.root(i)
+                    out.append(pair)
+    return out
+
+
+def crossing(rows: DataFrame, percent: int, words: int, n: int) -> DataFrame:
+    """Confirmed links (a, b) between components, from cells (see ``cells``), which are bounded however large a bucket is."""
     dealt = rows.repartition(n, "band", "kind", "x", "y").sortWithinPartitions("band", "kind", "x", "y")
 
-    def pairs(t: pa.Table):
-        doc, comp = t["doc"].to_numpy(), t["component"].to_numpy()
-        sig = np.array(t["sig"].combine_chunks().values if isinstance(t["sig"], pa.ChunkedArray) else t["sig"].values).reshape(len(doc), -1).view(np.uint64)
-        kinds, where, size = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(kinds) < 2:
+    def flush(held: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(held).combine_chunks()
+        component = t["component"].to_numpy()
+        if (component == component[0]).all():
             return
-        rank = np.empty(len(kinds), np.int64)
-        rank[np.lexsort((kinds, -size))] = np.arange(len(kinds))  # 0 is the largest component
-        place = rank[where]
-        tested = t["tested"].to_pylist()
-        for i in np.flatnonzero(place > 0):
-            alike = _similarities(sig, sig[i])
-            good = np.flatnonzero((alike >= least) & (place < place[i]))
-            if tested[i]:
-                good = good[~np.isin(doc[good], tested[i])]
-            if not len(good):
-                continue
-            good = good[np.lexsort((doc[good], -alike[good], place[good]))]
-            turn = np.arange(len(good)) - np.searchsorted(place[good], place[good])
-            for j in good[turn < partners]:
-                yield (int(min(doc[i], doc[j])), int(max(doc[i], doc[j])))
+        doc, sig = t["doc"].to_numpy(), t["sig"].combine_chunks()
+        sig = sig.flatten().to_numpy().reshape(len(doc), -1).view(np.uint64)
+        keys, bounds = [], [np.zeros(1, np.int64)]
+        for _, _, data, offsets in K.pieces(t["text"].combine_chunks()):
+            k, b = shingle_sets(data, offsets, words)
+            keys.append(k)
+            bounds.append(b[1:] + bounds[-1][-1])
+        found = links_within(component, sig, np.concatenate(keys), np.concatenate(bounds), percent)
+        if found:
+            pair = np.sort(doc[np.array(found)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
     def run(batches):
         held, cell = [], None
-
-        def flush():
-            found = sorted(set(pairs(pa.Table.from_batches(held))))
-            if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
         for batch in batches:
             at = np.column_stack([batch.column(i).to_numpy() for i in range(4)])
             cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(at)]
@@ -187,18 +230,18 @@ def crossing(rows: DataFrame, least: float, partners: int, n: int) -> DataFrame:
                 if high == low:
                     continue
                 if held and tuple(at[low]) != cell:
-                    yield from flush()
+                    yield from flush(held)
                     held = []
                 cell = tuple(at[low])
                 held.append(batch.slice(low, high - low))
         if held:
-            yield from flush()
+            yield from flush(held)
 
-    return stream_arrow(dealt.select("band", "kind", "x", "y", "doc", "component", "sig", "tested"), "a long, b long", run).distinct()
+    return stream_arrow(dealt.select("band", "kind", "x", "y", "doc", "component", "sig", "text"), "a long, b long", run).distinct()
 
 
 #: Documents of one side of a cell at about.
-BLOCK = 4096
+BLOCK = 1024
 
 
 def cells(spread: DataFrame) -> DataFrame:
@@ -211,7 +254,7 @@ def cells(spread: DataFrame) -> DataFrame:
     sizes = spread.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     blocks = mixed.select("band", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / BLOCK).alias("nv"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).alias("nu"))
-    rows = spread.join(blocks, "band")
+    rows = joined(spread, blocks, "band")
     own = lambda c: F.pmod(F.xxhash64("doc"), F.col(c))
     cell = lambda kind, x, y: F.struct(F.lit(kind).cast("long").alias("kind"), x.cast("long").alias("x"), y.cast("long").alias("y"))
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
@@ -231,9 +274,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int, n: int
     The text of a is sent once to each of its groups, the text of each b once to its own; sets are made where they meet.
     """
     groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
-    dealt = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("g"))
+    dealt = joined(pairs, groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("g"))
     needs = dealt.select("a", "g").distinct().select(F.col("a").alias("doc_id"), "a", "g", F.lit(0).alias("role")).unionAll(dealt.select(F.col("b").alias("doc_id"), "a", "g", F.lit(1).alias("role")))
-    rows = texts.join(needs, "doc_id").select("a", "g", "role", "doc_id", "text")
+    rows = joined(texts, needs, "doc_id").select("a", "g", "role", "doc_id", "text")
     rows = rows.repartition(n, "a", "g").sortWithinPartitions("a", "g", "role")
 
     def run(batches):
@@ -265,10 +308,10 @@ def components(links: DataFrame) -> DataFrame:
     both = saved(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
     label = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "near-labels")
     while True:
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("n"))
-        new = label.join(near, label["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "n").alias("component"))
+        near = joined(both, label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("n"))
+        new = joined(label, near, label["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "n").alias("component"))
         up = label.select(F.col("node").alias("m"), F.col("component").alias("over"))
-        jumped = saved(new.join(up, new["component"] == up["m"], "left").select("node", "old", F.least("component", F.coalesce("over", "component")).alias("component")), "near-labels")
+        jumped = saved(joined(new, up, new["component"] == up["m"], "left").select("node", "old", F.least("component", F.coalesce("over", "component")).alias("component")), "near-labels")
         changed = jumped.where("component <> old").limit(1).count()
         label = jumped.select("node", "component")
         if not changed:
@@ -291,40 +334,28 @@ def near_duplicates(documents: DataFrame, percent: int = 85, words: int = WORDS)
     table = saved(signatures(documents, words), "near-signatures")
     full = table.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = saved(full.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "rep"), "near-classes").distinct()
-    reps = full.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "sig", "bands")
+    member = saved(joined(full.select("doc_id", "n_shingles", "f1", "f2"), classes, ["f1", "f2", "n_shingles"]).select("doc_id", "rep"), "near-classes").distinct()
+    reps = joined(full, member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "sig", "bands")
     buckets = reps.select("doc", F.explode("bands").alias("band")).select("band", "doc")
 
     proposed = saved(stars(buckets, n), "near-stars")
     in_play = proposed.select(F.col("a").alias("doc_id")).unionAll(proposed.select(F.col("b").alias("doc_id"))).distinct()
-    signs = saved(reps.join(in_play, reps["doc"] == in_play["doc_id"], "left_semi").select("doc", "sig", "bands"), "near-in-play")
-    kept_texts = saved(texts.join(in_play, "doc_id", "left_semi"), "near-texts")
-    least = percent / 100 - MARGIN
+    signs = saved(joined(reps, in_play, reps["doc"] == in_play["doc_id"], "left_semi").select("doc", "sig", "bands"), "near-in-play")
+    kept_texts = saved(joined(texts, in_play, "doc_id", "left_semi"), "near-texts")
 
     sa, sb = signs.select(F.col("doc").alias("a"), F.col("sig").alias("sa")), signs.select(F.col("doc").alias("b"), F.col("sig").alias("sb"))
-    alike = proposed.join(sa, "a").join(sb, "b").where(similarity(F.col("sa"), F.col("sb")) >= least).select("a", "b")
-    tested = saved(alike, "near-tested")
-    links = saved(confirm(tested, kept_texts, percent, words, n), "near-confirmed")
+    alike = joined(joined(proposed, sa, "a"), sb, "b").where(similarity(F.col("sa"), F.col("sb")) >= percent / 100 - MARGIN).select("a", "b")
+    links = saved(confirm(saved(alike, "near-alike"), kept_texts, percent, words, n), "near-confirmed")
     label = components(links)
-    partners = 4
-    while True:
-        named = signs.join(label, signs["doc"] == label["node"], "left").select("doc", F.coalesce("component", "doc").alias("component"), "sig", "bands")
-        spread = named.select("doc", "component", F.explode("bands").alias("band"))
-        failed = tested.join(links, ["a", "b"], "left_anti")
-        known = failed.select(F.col("a").alias("doc"), F.col("b").alias("other")).unionAll(failed.select("b", "a")).groupBy("doc").agg(F.collect_set("other").alias("tested"))
-        rows = cells(spread).join(named.select("doc", "sig"), "doc").join(known, "doc", "left")
-        fresh = crossing(rows, least, partners, n)
-        fresh = saved(fresh.join(tested, ["a", "b"], "left_anti"), "near-crossing")
-        if not fresh.limit(1).count():
-            break
-        more = saved(confirm(fresh, kept_texts, percent, words, n), "near-confirmed")
-        tested = tested.unionByName(fresh)
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            label = components(links)
-        partners *= 8
-    found = member.join(label, member["rep"] == label["node"], "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))
-    out = table.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left")
+
+    named = joined(signs, label, signs["doc"] == label["node"], "left").select("doc", F.coalesce("component", "doc").alias("component"), "sig", "bands")
+    spread = named.select("doc", "component", F.explode("bands").alias("band"))
+    rows = joined(cells(spread), joined(signs.select("doc", "sig"), kept_texts.withColumnRenamed("doc_id", "doc"), "doc"), "doc")
+    more = saved(crossing(rows, percent, words, n), "near-confirmed")
+    if more.limit(1).count():
+        label = components(links.unionByName(more))
+    found = joined(member, label, member["rep"] == label["node"], "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))
+    out = joined(table.select("doc_id", "n_shingles"), found, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
@@ -332,4 +363,4 @@ def near_duplicates(documents: DataFrame, percent: int = 85, words: int = WORDS)
 def drop_duplicates(documents: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
     """The rows whose document is kept, with all their columns."""
     gone = near_duplicates(documents, percent, words).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == gone["__gone"], "left_anti")
+    return joined(documents, gone, documents["doc_id"] == gone["__gone"], "left_anti")
