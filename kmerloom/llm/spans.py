@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import clean_texts, partitions, saved, stream_arrow
+from .common import joined, partitions, saved, stream_arrow
 
 _PLACE = K.U((1 << 26) - 1)
 #: Units of one block of a text; longer texts are cut into blocks that overlap by length - 1, so that each window is in one.
@@ -175,14 +175,45 @@ def removed_spans(documents: DataFrame, rule: Rule, verdict: Callable[[list[byte
     span = lambda f: f.select("doc", F.col("start").alias("low"), (F.col("start") + F.col("windows") + (length - 1)).alias("high"))
     settled = span(first.where("kind = 1")).unionAll(span(judged.where("kind = 1")))
 
-    wanted = judged.where("kind = 0").groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("strips"))
-    cut = texts.join(wanted, texts["doc_id"] == wanted["doc"]).select("doc_id", "text", "strips")
-    sent = cut_strips(cut, rule).repartition(n, "anchor").sortWithinPartitions("anchor", "doc", "start")
-    return settled.unionAll(saved(decide(sent, rule, verdict), f"{name}-spans"))
+    open_ = judged.where("kind = 0")
+    hot = saved(open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot")), f"{name}-hot")
+    crowded = hot.limit(1).count() > 0
+    marked = joined(open_, hot, "anchor", "left") if crowded else open_.withColumn("hot", F.lit(None).cast("boolean"))
+    wanted = marked.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("strips"))
+    cut = cut_strips(joined(texts, wanted, texts["doc_id"] == wanted["doc"]).select("doc_id", "text", "strips"), rule)
+    cut = saved(cut, f"{name}-cut") if crowded else cut
+    sent = cut.where("not hot").repartition(n, "anchor").sortWithinPartitions("anchor", "doc", "start")
+    spans = settled.unionAll(saved(decide(sent, rule, verdict), f"{name}-spans"))
+    return spans.unionAll(saved(crowded_spans(cut.where("hot"), rule), f"{name}-crowded")) if crowded else spans
+
+
+#: Different strips of one anchor that are judged together at most. More are judged by window, see ``crowded_spans``.
+HOT = 4096
+
+
+def crowded_spans(strips: DataFrame, rule: Rule) -> DataFrame:
+    """Spans of the repeated windows of strips whose anchor is too frequent for one task: every window goes by its hash, with partial aggregation of the earliest place, so no task holds an anchor's strips."""
+
+    def run(batches):
+        for batch in batches:
+            anchor, doc, start = (batch.column(i).to_numpy() for i in range(3))
+            for low, high, data, offsets in K.pieces(batch.column(3)):
+                u = units(data, offsets, rule)
+                count = np.maximum(0, np.diff(u.first) - rule.length + 1)
+                row = np.repeat(np.arange(high - low), count)
+                inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                at = inner + u.first[row]
+                h = K.span_hash(u.sums, at, at + rule.length)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[low:high][row]), pa.array(h.view(np.int64)), pa.array(doc[low:high][row]), pa.array(start[low:high][row] + inner)], names=["anchor", "window", "doc", "at"])
+
+    windows = stream_arrow(strips.select("anchor", "doc", "start", "text"), "anchor long, window long, doc long, at long", run)
+    first = windows.groupBy("anchor", "window").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = (F.struct("doc", "at") > F.col("first")) if rule.within else (F.col("doc") > F.col("first.doc"))
+    return joined(windows, first, ["anchor", "window"]).where(again).select("doc", F.col("at").alias("low"), (F.col("at") + rule.length).alias("high"))
 
 
 def cut_strips(rows: DataFrame, rule: Rule) -> DataFrame:
-    """anchor, doc, start, text of each wanted strip."""
+    """anchor, doc, start, text of each wanted strip, and whether its anchor is hot."""
 
     def run(batches):
         for batch in batches:
@@ -193,17 +224,17 @@ def cut_strips(rows: DataFrame, rule: Rule) -> DataFrame:
                     u = units(data, offsets, rule)
                 for i in range(high - low):
                     own = wanted[low + i].values
-                    anchor, start, windows = (own.field(j).to_numpy() for j in range(3))
+                    anchor, start, windows, hot = (own.field(j).to_numpy(zero_copy_only=False) for j in range(4))
                     end = start + windows + rule.length - 1
                     if rule.words:
                         f = u.first[i]
                         b, e = u.starts[f + start], u.ends[f + end - 1]
                     else:
                         b, e = offsets[i] + start, offsets[i] + end
-                    out.append((anchor, np.full(len(anchor), ids[low + i]), start, [bytes(data[x:y]) for x, y in zip(b, e)]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out])), pa.array([t for x in out for t in x[3]], pa.binary())], names=["anchor", "doc", "start", "text"])
+                    out.append((anchor, np.full(len(anchor), ids[low + i]), start, [bytes(data[x:y]) for x, y in zip(b, e)], hot))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out])), pa.array([t for x in out for t in x[3]], pa.binary()), pa.array(np.concatenate([x[4] for x in out]))], names=["anchor", "doc", "start", "text", "hot"])
 
-    return stream_arrow(rows, "anchor long, doc long, start long, text binary", run)
+    return stream_arrow(rows, "anchor long, doc long, start long, text binary, hot boolean", run)
 
 
 #: Bytes of strips that are judged together at about; one anchor's strips are never parted.
@@ -250,4 +281,4 @@ def covered(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
 def with_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, text and the array of the document's spans (null if it has none)."""
     gathered = spans.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return documents.join(gathered, documents["doc_id"] == gathered["doc"], "left").select("doc_id", "text", "spans")
+    return joined(documents, gathered, documents["doc_id"] == gathered["doc"], "left").select("doc_id", "text", "spans")
