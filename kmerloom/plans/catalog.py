@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna, hashes
-from ..operators import align, kmers, overlap, sketches, supermers, variants
+from ..operators import align, kmers, overlap, sketches, supermers, tables, variants
 from ..sources import runlog
 
 K, M, LOW, HIGH, DMIN, PARTS = 17, 7, 2, 8, 2, 16
@@ -216,6 +216,41 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.event_windows(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
+def item_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct 17-mers of the benchmark's texts, as DNA."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read_id"), dna.text_to_dna(F.col("text")).alias("seq"))
+    return kmers.count_packed(items, K).select("packed")
+
+
+def table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.lookup(_count(reads(spark, sf_dir)), item_kmers(spark, sf_dir), "packed").select("packed", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+
+
+def table_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.delete(_count(reads(spark, sf_dir)), item_kmers(spark, sf_dir), "packed")
+
+
+def heavy_hitter_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.dense_index(heavy_hitter_exact(spark, sf_dir), "item")
+
+
+def kmer_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of intersection, difference and union of the reads' and the benchmark's k-mers."""
+    a, b = _count(reads(spark, sf_dir)).select("packed"), item_kmers(spark, sf_dir)
+    size = lambda f, name: f.agg(F.count(F.lit(1)).alias(name))
+    return size(a.intersect(b), "common").crossJoin(F.broadcast(size(b.exceptAll(a), "missing"))).crossJoin(F.broadcast(size(a.union(b).distinct(), "either")))  # single rows
+
+
+def interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipped lines' days against orders' months, as intervals of days."""
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01"))
+    lines = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 37 % 5000).alias("lo"), (F.col("s_suppkey") * 37 % 5000 + 40).alias("hi"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), day("o_orderdate").cast("long").alias("lo"), (day("o_orderdate") + 3).cast("long").alias("hi"))
+    start = orders.agg(F.min("lo").alias("first"))
+    moved = lines.crossJoin(F.broadcast(start)).select("id", (F.col("lo") + F.col("first")).alias("lo"), (F.col("hi") + F.col("first")).alias("hi"))  # one row
+    return tables.interval_join(moved, orders, 64).groupBy("id_a").agg(F.count(F.lit(1)).alias("n"))
+
+
 def of_reads(function: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: function(reads(spark, sf_dir))
 
@@ -271,6 +306,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "seed_alignment": seed_alignment,
     "log_fields": log_fields,
     "event_windows": event_windows,
+    "table_lookup": table_lookup,
+    "table_delete": table_delete,
+    "heavy_hitter_index": heavy_hitter_index,
+    "kmer_set_operations": kmer_set_operations,
+    "interval_overlaps": interval_overlaps,
+    "prefix_groups": of_reads(lambda r: tables.prefix_groups(kmers.count(r, K))),
+    "markov_model": of_reads(lambda r: tables.markov(kmers.count(r, 6), 6)),
+    "neighbours_present": of_reads(lambda r: tables.neighbours_present(kmers.letters(kmers.reliable(_count(r), LOW, HIGH).select("packed"), K))),
+    "supermer_expand_rows": of_reads(lambda r: supermers.expand(supermers.supermers(r, K, M, with_bases=True), K).groupBy("packed").agg(F.count(F.lit(1)).alias("cnt"))),
+    "range_owner": of_reads(lambda r: tables.packed_owner(_count(r), PARTS)),
 }
 
 _READS = "select doc_id + 1 as read_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTANCGTACGNTACGTANCN') as seq from documents"
@@ -310,6 +355,8 @@ _CODE = lambda s: f"case when {_NTH(s, 2)} >= {DMIN} then 'F' when {_NTH(s, 1)}
 _TRIO = lambda i, name: f"""{_kmers(11, f'select * from ({_READS}) q where read_id % 3 = {i}', f'k{name}')}, {name} as (select kmer, sum(cnt)::bigint as cnt from
   (select kmer, count(*) as cnt from k{name} group by kmer union all select reverse(translate(kmer, 'ACGT', 'TGCA')), count(*) from k{name} group by kmer) t group by kmer)"""
 
+_ITEMS = _READS.replace("doc_id + 1", "item_id").replace("documents", "benchmark")
+
 ORACLE: dict[str, str] = {
     "kmer_count": f"with {_kmers()} {_COUNT}",
     "kmer_count_packed": f"with {_kmers()}, c as ({_COUNT}) select {_PACKED} as packed, cnt from c",
@@ -369,5 +416,20 @@ a as (select read_id, unnest(range(0, length(seq) - 19)) as pos, seq from r wher
 select read_id, pattern_id, pos from a join q on substr(seq, pos + 1, 20) = k where substr(seq, pos + 1, length(pattern)) = pattern""",
     "hamming": "select item_id, list_sum(list_transform(range(1, 61), lambda i: (substr(text, i, 1) <> substr(text, i + 1, 1))::int))::bigint as distance from benchmark where length(text) > 60",
     "log_fields": "select p_partkey, '17' as Val_k, '2' as Val_reliable_min, '7' as Val_reliable_max, p_partkey::varchar as Num_total_mpi_tasks, '7.' || p_partkey as Time_count, p_partkey::varchar as Num_retained from part",
+    "table_lookup": f"with {_kmers()}, c as ({_COUNT}), {_kmers(K, _ITEMS, 'items')}, k as (select distinct kmer from items) select {_PACKED} as packed, coalesce(cnt, 0) as cnt from k left join c using (kmer)",
+    "table_delete": f"with {_kmers()}, c as ({_COUNT}), {_kmers(K, _ITEMS, 'items')} select {_PACKED} as packed, cnt from c where kmer not in (select kmer from items)",
+    "heavy_hitter_index": "select item, cnt, row_number() over (order by item) - 1 as index from (select l_partkey as item, count(*) as cnt from lineitem group by 1 order by cnt desc, item desc limit 100) t",
+    "kmer_set_operations": f"""with {_kmers()}, {_kmers(K, _ITEMS, 'items')}, a as (select distinct kmer from kmers), b as (select distinct kmer from items)
+select (select count(*) from a where kmer in (select kmer from b)) as common, (select count(*) from b where kmer not in (select kmer from a)) as missing, (select count(*) from (select kmer from a union select kmer from b) u) as either""",
+    "interval_overlaps": """with o as (select date_diff('day', date '1970-01-01', o_orderdate::date) as lo from orders), f as (select min(lo) as first from o),
+s as (select s_suppkey as id_a, s_suppkey * 37 % 5000 + first as lo, s_suppkey * 37 % 5000 + 40 + first as hi from supplier, f)
+select id_a, count(*) as n from s join o on o.lo < s.hi and s.lo < o.lo + 3 group by 1""",
+    "prefix_groups": f"with {_kmers()}, c as ({_COUNT}) select left(kmer, {K - 1}) as prefix, count(*) as n from c group by 1 having count(*) > 1",
+    "markov_model": f"with {_kmers(6)}, c as ({_COUNT}) select left(kmer, 5) as context, right(kmer, 1) as base, cnt, cnt / sum(cnt) over (partition by left(kmer, 5)) as p from c",
+    "neighbours_present": f"""with {_kmers()}, g as ({_COUNT} having count(*) between {LOW} and {HIGH}), i as (select kmer, unnest(range(0, 8)) as i from g),
+l as (select kmer, case when i < 4 then substr(kmer, 2) || substr('ACGT', (i + 1)::int, 1) else substr('ACGT', (i - 3)::int, 1) || left(kmer, {K - 1}) end as link from i)
+select l.kmer, count(*) as n from l join g on g.kmer = l.link group by 1""",
+    "supermer_expand_rows": f"with {_kmers()}, c as ({_COUNT}) select {_PACKED} as packed, cnt from c",
+    "range_owner": f"with {_kmers()}, c as ({_COUNT}) select {_PACKED} % {PARTS} as owner, count(*) as n from c group by 1",
     "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by 1, 2",
 }

@@ -179,3 +179,40 @@ def write_counts(counts: DataFrame, path: str, threshold: int = 0, limit: int |
 
 def write_tsv(frame: DataFrame, path: str) -> None:
     frame.write.option("sep", "\t").csv(path)
+
+
+def stage_in(frame: DataFrame) -> DataFrame:
+    """Keeps a read set at hand across queries: in memory, on disk where it doesn't fit."""
+    from pyspark import StorageLevel
+
+    return frame.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def stage_out(frame: DataFrame) -> None:
+    frame.unpersist()
+
+
+def write_table(frame: DataFrame, path: str) -> None:
+    """Binary form of counts, places or extension tables."""
+    frame.write.parquet(path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_extensions(codes: DataFrame, path: str, limit: int | None = None) -> DataFrame:
+    """Lines of k-mer, tab, extended code; returns the least and the largest count of what was written."""
+    out = codes.limit(limit).persist() if limit else codes
+    out.select(F.concat_ws("\t", "kmer", "extended").alias("value")).write.text(path)
+    return out.agg(F.min("cnt").alias("least"), F.max("cnt").alias("most"))
+
+
+# Leading columns of the tab-separated interval formats.
+BED = "chrom string, start long, end long, name string, score string, strand string"
+GFF = "seqid string, source string, type string, start long, end long, score string, strand string, phase string, attributes string"
+
+
+def read_intervals(spark: SparkSession, path: str, schema: str = BED) -> DataFrame:
+    """BED or GFF rows; comment lines are left out."""
+    return spark.read.schema(schema).option("sep", "\t").option("comment", "#").csv(path)
