@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import saved
+
 MODES = ("global", "prefix", "infix")
 
 
@@ -213,16 +215,16 @@ def find_patterns(reads: DataFrame, patterns: DataFrame, k: int) -> DataFrame:
     return hits.where(F.substr("seq", F.col("pos") + 1, F.length("pattern")) == F.col("pattern")).select("read_id", "pattern_id", F.col("pos").cast("long").alias("pos"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component (least node reachable) of an undirected edge list (a, b): labels spread along edges and jump until none changes."""
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().persist()
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).withColumnRenamed("a", "node")
-    for _ in range(rounds):
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("c").alias("n"))
-        new = label.join(near, label["node"] == near["a"]).select("node", F.least("c", "n").alias("c"))
-        jump = new.join(new.select(F.col("node").alias("m"), F.col("c").alias("d")), F.col("c") == F.col("m"), "left").select("node", F.least("c", F.coalesce("d", "c")).alias("c")).checkpoint()
-        changed = jump.join(label.withColumnRenamed("c", "old"), "node").where("c <> old").limit(1).count()
-        label = jump
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (least node reachable) of an undirected edge list (a, b): labels spread along edges and jump to their label's label until none changes; each round's labels are a written table."""
+    both = saved(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    label = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    while True:
+        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("n"))
+        new = label.join(near, label["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "n").alias("component"))
+        up = label.select(F.col("node").alias("m"), F.col("component").alias("over"))
+        jumped = saved(new.join(up, new["component"] == up["m"], "left").select("node", "old", F.least("component", F.coalesce("over", "component")).alias("component")), "labels")
+        changed = jumped.where("component <> old").limit(1).count()
+        label = jumped.select("node", "component")
         if not changed:
-            break
-    return label.withColumnRenamed("c", "component")
+            return label

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -31,3 +33,42 @@ def session(name: str = "kmerloom", cpus: str = "*", **conf: str) -> SparkSessio
     spark.sparkContext.setLogLevel("ERROR")
     importable(spark)
     return spark
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of the cluster; only where none is set (tests, local runs), a local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        context = spark.sparkContext
+        kept = context._jsc.sc().getCheckpointDir()
+        found = kept.get() if kept.isDefined() else None
+        if not found:
+            found = tempfile.mkdtemp(prefix="checkpoints-")
+            context.setCheckpointDir(found)
+    return found
+
+
+_written: list[str] = []
+
+
+def saved(frame: DataFrame, name: str) -> DataFrame:
+    """The frame, written to the shared folder and read again: cuts lineage and survives lost executors."""
+    spark = frame.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    _written.append(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def mark() -> int:
+    """A place in the list of tables written so far, for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables written since a mark, but for the last ``keep``. Results that still read them must have been written before."""
+    gone = _written[since : len(_written) - keep]
+    for path in gone:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    del _written[since : len(_written) - keep]

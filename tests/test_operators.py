@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from kmerloom.plans import session
 from kmerloom.operators import align, kmers, overlap, sketches, supermers, variants
 from kmerloom.sources import fastq, runlog, synthetic
 from kmerloom.streaming import counts as streaming
@@ -82,10 +83,12 @@ def test_sketches(spark):
 
 
 def test_components(spark):
-    spark.sparkContext.setCheckpointDir("/tmp/kmerloom-tests")
+    before = session.mark()
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 7), (20, 21)] + [(i, i + 1) for i in range(30, 60)], "a long, b long")
     got = {r.node: r.component for r in align.components(edges).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20} | {i: 30 for i in range(30, 61)}
+    session.release(spark, before)
+    assert session.mark() == before
 
 
 def test_patterns_and_d2(spark):
