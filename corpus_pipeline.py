@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kmerloom.llm import decontam, mixing, near_dup, quality, secret_scan
-from kmerloom.llm.common import saved
+from kmerloom.llm.common import mark, release, saved
 from kmerloom.llm.queries import table
 
 
@@ -55,5 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = mark()
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, before, keep=1)  # the stage's own tables; its result is written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,36 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import importable
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only where none is set (tests), a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        kept = context._jsc.sc().getCheckpointDir()
-        found = kept.get() if kept.isDefined() else None
-        if not found:
-            found = tempfile.mkdtemp(prefix="checkpoints-")
-            context.setCheckpointDir(found)
-    return found
-
-
-def saved(frame: DataFrame, name: str) -> DataFrame:
-    """The frame, written to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = frame.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+from ..plans.session import importable, mark, release, saved  # noqa: F401
 
 
 def partitions(spark: SparkSession) -> int:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.align import components
 from . import kernels as K
 from .common import clean_texts, joined, map_arrow, partitions, saved, stream_arrow
 
@@ -303,19 +304,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int, n: int
     return stream_arrow(rows, "a long, b long", run).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component: the least node reachable. Labels go along links and jump to their label's label until none changes; each round's labels are a written table."""
-    both = saved(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
-    label = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "near-labels")
-    while True:
-        near = joined(both, label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("n"))
-        new = joined(label, near, label["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "n").alias("component"))
-        up = label.select(F.col("node").alias("m"), F.col("component").alias("over"))
-        jumped = saved(joined(new, up, new["component"] == up["m"], "left").select("node", "old", F.least("component", F.coalesce("over", "component")).alias("component")), "near-labels")
-        changed = jumped.where("component <> old").limit(1).count()
-        label = jumped.select("node", "component")
-        if not changed:
-            return label
+def merged(label: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels after more links: only the components that these join are looked at again. A node without a label is a component of its own."""
+    for end in ("a", "b"):
+        own = label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        more = joined(more, own, end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+    over = components(more).select(F.col("node").alias("m"), F.col("component").alias("over"))
+    both = joined(label, over, label["component"] == over["m"], "full")
+    return both.select(F.coalesce("node", "m").alias("node"), F.coalesce("over", "component").alias("component"))
 
 
 RESULT = "doc_id long, n_shingles long, component_id long, kept boolean"
@@ -353,7 +349,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, words: int = WORDS)
     rows = joined(cells(spread), joined(signs.select("doc", "sig"), kept_texts.withColumnRenamed("doc_id", "doc"), "doc"), "doc")
     more = saved(crossing(rows, percent, words, n), "near-confirmed")
     if more.limit(1).count():
-        label = components(links.unionByName(more))
+        label = saved(merged(label, more), "near-labels")
     found = joined(member, label, member["rep"] == label["node"], "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))
     out = joined(table.select("doc_id", "n_shingles"), found, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
