@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query against its SQL, on a small fixture: 40 documents, and the other tables as they are at the smallest scale."""
 
 import sys
 from pathlib import Path
@@ -14,11 +14,14 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 @pytest.fixture(scope="session")
-def con():
-    c = duckdb.connect()
+def small(tmp_path_factory):
+    """Folder of the fixture, and DuckDB with its tables."""
+    c, folder = duckdb.connect(), tmp_path_factory.mktemp("tables")
     for t in TABLES:
-        c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
-    return c
+        rows = f"select * from '{DATA}/{t}.parquet'" + (" order by doc_id limit 40" if t == "documents" else "")
+        c.execute(f"copy ({rows}) to '{folder}/{t}.parquet' (format parquet)")
+        c.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    return str(folder), c
 
 
 def rows(frame):
@@ -28,8 +31,9 @@ def rows(frame):
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no tables here")
 @pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n in catalog.ORACLE])
-def test_query(spark, con, name):
-    got, want = catalog.QUERIES[name](spark, DATA).toPandas(), con.execute(catalog.ORACLE[name]).df()
+def test_query(spark, small, name):
+    folder, con = small
+    got, want = catalog.QUERIES[name](spark, folder).toPandas(), con.execute(catalog.ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
