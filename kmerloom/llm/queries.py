@@ -81,6 +81,16 @@ sets as (select doc_id, list_distinct(case when len(w) >= 5 then list_transform(
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLE: dict[str, str] = {
+    "op2_suffix_dedup": """
+with docs as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+windows as (select doc_id, p, md5(substr(x, 2 * p + 1, 200)) as h from (select doc_id, x, unnest(range(0, len(x) // 2 - 99)) as p from docs where len(x) >= 200) w),
+hits as (select doc_id, p from (select doc_id, p, row_number() over (partition by h order by doc_id, p) as n from windows) r where n > 1),
+each as (select doc_id, unnest(range(0, len(x) // 2)) as b, unnest(regexp_extract_all(x, '..')) as v from docs where len(x) > 0),
+last as (select each.doc_id, b, v, max(hits.p) over (partition by each.doc_id order by b) as l from each left join hits on hits.doc_id = each.doc_id and hits.p = each.b),
+gone as (select doc_id, b, v, coalesce(b - l < 100, false) as g from last),
+runs as (select *, g and not coalesce(lag(g) over (partition by doc_id order by b), false) as s from gone),
+sums as (select doc_id, count(*) filter (g) as n_removed, count(*) filter (s) as n_spans, string_agg(v, '' order by b) filter (not g) as kept from runs group by doc_id)
+select docs.doc_id, (len(x) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from docs left join sums using (doc_id)""",
     "op5_substring_dedup": f"""
 with docs as (select doc_id, {_WORDS} as w from documents),
 windows as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from docs where len(w) >= 50) x),
