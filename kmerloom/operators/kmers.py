@@ -110,19 +110,18 @@ def top(counts: DataFrame, n: int = 40, item: str = "kmer") -> DataFrame:
     return counts.orderBy(F.desc("cnt"), F.desc(item)).limit(n)
 
 
-def occurrence_lists(reads: DataFrame, k: int, low: int, high: int) -> DataFrame:
-    """kmer (canonical), cnt, and its places as array of (read_id, pos), at most ``high`` of them: only reliable k-mers gather lists."""
-    seen = letters(packed_kmers(reads, k, True, True), k)
-    lists = seen.groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"), F.slice(F.sort_array(F.collect_list(F.struct("read_id", "pos"))), 1, high).alias("places"))
-    return lists.where(F.col("cnt").between(low, high))
-
-
 def reliable_occurrences(reads: DataFrame, k: int, low: int, high: int) -> DataFrame:
     """packed, read_id, pos of the k-mers whose canonical count is in range. Counting comes first, so frequent k-mers never meet in one task."""
     kept = reliable(count_packed(reads, k, True), low, high).select("packed")
     return packed_kmers(reads, k, True, True).join(kept, "packed", "left_semi")
 
 
+def occurrence_lists(reads: DataFrame, k: int, low: int, high: int) -> DataFrame:
+    """packed (canonical), cnt, and the k-mer's places as sorted array of (read_id, pos): only reliable k-mers gather lists, so none is longer than ``high``."""
+    found = reliable_occurrences(reads, k, low, high)
+    return found.groupBy("packed").agg(F.count(F.lit(1)).alias("cnt"), F.slice(F.sort_array(F.collect_list(F.struct("read_id", "pos"))), 1, high).alias("places"))
+
+
 def extension_counts(reads: DataFrame, k: int) -> DataFrame:
     """kmer, how often A, C, G, T stand before it (la..lt) and after it (ra..rt), and cnt."""
     long_enough = reads.where(F.length("seq") >= k)

@@ -39,8 +39,7 @@ def occurrences_text(places: Column) -> Column:
 
 
 def kmer_reads_list(r: DataFrame) -> DataFrame:
-    found = kmers.reliable_occurrences(r, K, LOW, HIGH)
-    lists = found.groupBy("packed").agg(F.count(F.lit(1)).alias("cnt"), F.slice(F.sort_array(F.collect_list(F.struct("read_id", "pos"))), 1, HIGH).alias("places"))
+    lists = kmers.occurrence_lists(r, K, LOW, HIGH)
     return kmers.letters(lists.select("packed", "cnt", occurrences_text(F.col("places")).alias("places")), K)
 
 
