@@ -21,7 +21,7 @@ from .common import map_arrow, partitions, saved, stream_arrow
 
 CAP = 3.0
 #: Documents of one flight group at about; groups are drawn by hash, so hot sources are dealt over many.
-GROUP = 20_000
+GROUP = 4_000
 
 
 def sizes(documents: DataFrame) -> DataFrame:
