@@ -40,6 +40,8 @@ def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.
 
 def packed_windows(code: np.ndarray, k: int) -> np.ndarray:
     """2-bit packed value of each window of k bases (k up to 31), by doubling."""
+    if len(code) < k:
+        return np.zeros(0, np.int64)
     value, have = (code & 3).astype(np.int64), 1
     out, got = None, 0
     rest = k
@@ -48,9 +50,9 @@ def packed_windows(code: np.ndarray, k: int) -> np.ndarray:
             out, got = (value, have) if out is None else ((out[: len(value) - got] << (2 * have)) | value[got:], got + have)
         rest >>= 1
         if rest:
-            value = (value[:-have] << (2 * have)) | value[have:] if len(value) > have else value[:0]
+            value = (value[:-have] << (2 * have)) | value[have:]
             have *= 2
-    return out[: max(0, len(code) - k + 1)]
+    return out[: len(code) - k + 1]
 
 
 def valid_starts(code: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:

@@ -86,7 +86,7 @@ def path(query: str, target: str, extended: bool = False) -> tuple[int, str]:
     return int(rows[n][m]), "".join(out)
 
 
-def edlib_like(mode: str, most: int = -1):
+def semiglobal_udf(mode: str, most: int = -1):
     """Arrow UDF (query, target) to struct(distance, start, end)."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")

@@ -157,7 +157,7 @@ def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edit_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Infix and prefix distances of a part of each benchmark item to the whole item."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 11, 30).alias("q"), "text")
-    infix, prefix = align.edlib_like("infix")("q", "text"), align.edlib_like("prefix")("q", "text")
+    infix, prefix = align.semiglobal_udf("infix")("q", "text"), align.semiglobal_udf("prefix")("q", "text")
     return items.select("item_id", infix.alias("i"), prefix.alias("p")).select("item_id", F.col("i.distance").alias("infix"), F.col("i.start").alias("start"), F.col("i.end").alias("end"), F.col("p.distance").alias("prefix"))
 
 

@@ -1,7 +1,7 @@
 """Golden vectors and properties of the column functions."""
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -104,8 +104,10 @@ def test_extend_reaches_the_end():
     assert (x, y) == (len(a), len(b)) and score == len(b) - 1 and s2 == len(a) and s3 == 0
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.text("ACGTN", max_size=40), min_size=1, max_size=6), st.integers(1, 9))
+@settings(max_examples=300, deadline=None)
+@example(["AAA"], 9)
+@example(["A" * 31], 31)
+@given(st.lists(st.text("ACGTN", max_size=40), min_size=1, max_size=6), st.integers(1, 31))
 def test_packed_windows(rows, k):
     import numpy as np
     import pyarrow as pa
