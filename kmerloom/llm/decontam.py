@@ -1,9 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become template tokens: numbers, units and names become typed placeholders, all else its lower-case letters.
-Windows of template tokens are hash-joined with the benchmark's, and matched windows must fill their slots
-consistently: the same value of a benchmark slot by the same value in the document. So copies are caught, and questions
-with other numbers and names, too.
+Windows of template tokens are hash-joined with the benchmark's (windows of mostly placeholders by their words), spread
+to the equal tokens around them, and must fill their slots consistently: the same value of a benchmark slot by the same
+value in the document. So copies are caught, and questions with other numbers and names, too.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from . import linear as L
 from .common import clean_texts, map_arrow
 
 WINDOW = 8
-#: A window must have so many tokens that are no placeholders; items without such a window are indexed by what they have.
+#: A window must have so many tokens that are no placeholders to be indexed by its template, or else the most of its item;
+#: the item's other windows are indexed by their own words.
 LITERALS = 5
 #: Least share of an item's tokens in matched windows, and least share of consistent slots.
 COVERAGE, CONSISTENCY = 0.5, 0.8
@@ -95,21 +96,22 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Index:
-    """Benchmark items of one block: their tokens, and the hashes of their template windows, sorted, with their places."""
+    """Benchmark items of one block: their tokens, and the hashes of their windows, sorted, with their places."""
 
     ids: np.ndarray
     first: np.ndarray
     letters: np.ndarray
     kind: np.ndarray
-    by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # width: distinct hashes, start in places, places
+    value: np.ndarray
+    by_width: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]]  # width, by words: distinct hashes, start in places, places
 
 
 def index(items: list[tuple[int, str | None]]) -> Index:
     data, offsets = L.texts_of([t for _, t in items])
     letters, kind, value, first = tokens(data, offsets)
-    sums = K.prefix(value)
+    sums = {False: K.prefix(value), True: K.prefix(letters)}
     literal = np.concatenate(([0], np.cumsum(kind == WORD)))
-    found: dict[int, list[np.ndarray]] = defaultdict(list)
+    found: dict[tuple[int, bool], list[np.ndarray]] = defaultdict(list)
     for i in range(len(items)):
         n = int(first[i + 1] - first[i])
         if not n:
@@ -118,28 +120,59 @@ def index(items: list[tuple[int, str | None]]) -> Index:
         at = np.arange(first[i], first[i + 1] - width + 1)
         plain = literal[at + width] - literal[at]
         good = plain >= min(LITERALS, math.ceil(0.6 * width))
-        found[width].append(at[good] if good.any() else at[plain == plain.max()])
+        good = good if good.any() else plain == plain.max()
+        found[width, False].append(at[good])
+        if not good.all():
+            found[width, True].append(at[~good])
     by_width = {}
-    for width, parts in found.items():
+    for (width, own), parts in found.items():
         at = np.concatenate(parts)
-        h = K.span_hash(sums, at, at + width)
+        h = K.span_hash(sums[own], at, at + width)
         order = np.argsort(h, kind="stable")
         keys, start = np.unique(h[order], return_index=True)
-        by_width[width] = (keys, np.append(start, len(order)), at[order])
-    return Index(np.array([i for i, _ in items], np.int64), first, letters, kind, by_width)
-
-
-def matches(x: Index, data: np.ndarray, offsets: np.ndarray):
-    """(row, item number, windows, coverage, consistency, exact) of each row and item with a matched window."""
+        by_width[width, own] = (keys, np.append(start, len(order)), at[order])
+    return Index(np.array([i for i, _ in items], np.int64), first, letters, kind, value, by_width)
+
+
+def _judged(x: Index, letters: np.ndarray, n: int, width: int, runs: list[tuple[int, np.ndarray, int]]) -> tuple[int, float, float, bool]:
+    """(windows, coverage, consistency, exact) of the item's tokens at their places in the document; a token counts once, at the first of the shifts."""
+    covered, slots, consistent, same, windows = np.zeros(0, np.int64), 0, 0, True, np.zeros(0, np.int64)
+    for shift, own, _ in runs:
+        windows = np.union1d(windows, own[: len(own) - width + 1][own[width - 1 :] - own[: len(own) - width + 1] == width - 1])
+        own = np.setdiff1d(own, covered, True)
+        covered = np.union1d(covered, own)
+        filled: dict[tuple[int, int], Counter] = defaultdict(Counter)
+        for q in own[x.kind[own] != WORD].tolist():
+            filled[int(x.kind[q]), int(x.letters[q])][int(letters[q + shift])] += 1
+            same &= bool(x.letters[q] == letters[q + shift])
+        taken: set[tuple[int, int]] = set()
+        for (k, _), values in sorted(filled.items(), key=lambda f: (-sum(f[1].values()), f[0])):
+            slots += sum(values.values())
+            best, times = max(values.items(), key=lambda v: (v[1], v[0]))
+            if k != NAME or (k, best) not in taken:  # two names of the item aren't one name in the document
+                consistent += times
+            taken.add((k, best))
+    return len(windows), len(covered) / n, consistent / slots if slots else 1.0, same
+
+
+def matches(x: Index, data: np.ndarray, offsets: np.ndarray, coverage: float = COVERAGE, consistency: float = CONSISTENCY):
+    """(row, item number, windows, coverage, consistency, exact) of each row and item with a matched window.
+
+    A match is spread from its windows to all equal tokens beside them, so a whole copy covers its item. Shifts are
+    judged together, those with most of the item's own words first, and each alone: a whole copy counts whatever else
+    the row holds.
+    """
     letters, kind, value, first = tokens(data, offsets)
-    sums = K.prefix(value)
+    sums: dict[bool, np.ndarray] = {}
     hits: dict[tuple[int, int, int], set[int]] = defaultdict(set)  # row, item, shift: matched places of the item
-    for width, (keys, start, places) in x.by_width.items():
+    for (width, own), (keys, start, places) in x.by_width.items():
         n = len(value) - width + 1
         if n <= 0:
             continue
+        if own not in sums:
+            sums[own] = K.prefix(letters if own else value)
         low = np.arange(n)
-        h = K.span_hash(sums, low, low + width)
+        h = K.span_hash(sums[own], low, low + width)
         may = np.zeros(1 << 16, bool)
         may[keys >> K.U(48)] = True
         at = np.flatnonzero(may[h >> K.U(48)])
@@ -152,30 +185,21 @@ def matches(x: Index, data: np.ndarray, offsets: np.ndarray):
             for p in places[start[k] : start[k + 1]].tolist():
                 item = int(np.searchsorted(x.first, p, "right")) - 1
                 hits[r, item, a - p].add(p)
-    joined: dict[tuple[int, int], list[tuple[int, set[int]]]] = defaultdict(list)
+    joined: dict[tuple[int, int], list[tuple[int, np.ndarray, int]]] = defaultdict(list)
     for (r, item, shift), at in hits.items():
-        joined[r, item].append((shift, at))
+        q = np.arange(max(x.first[item], first[r] - shift), min(x.first[item + 1], first[r + 1] - shift))
+        equal = x.letters[q] == letters[q + shift]
+        run = np.cumsum(~(equal | (x.value[q] == value[q + shift])))  # equal tokens have the number of the last unequal one
+        spread = (equal | (x.value[q] == value[q + shift])) & np.isin(run, run[np.array(sorted(at)) - q[0]])
+        joined[r, item].append((shift, q[spread], int(equal[spread].sum())))
     for (r, item), runs in joined.items():
         n = int(x.first[item + 1] - x.first[item])
         width = min(WINDOW, n)
-        covered, slots, consistent, same, windows = set(), 0, 0, True, set()
-        for shift, at in runs:
-            own = sorted({q for p in at for q in range(p, p + width)})
-            covered.update(own)
-            windows |= at
-            filled: dict[tuple[int, int], Counter] = defaultdict(Counter)
-            for q in own:
-                if x.kind[q] != WORD:
-                    filled[int(x.kind[q]), int(x.letters[q])][int(letters[q + shift])] += 1
-                    same &= x.letters[q] == letters[q + shift]
-            taken: set[tuple[int, int]] = set()
-            for (k, _), values in sorted(filled.items(), key=lambda f: (-sum(f[1].values()), f[0])):
-                slots += sum(values.values())
-                best, times = max(values.items(), key=lambda v: (v[1], v[0]))
-                if k != NAME or (k, best) not in taken:  # two names of the item aren't one name in the document
-                    consistent += times
-                taken.add((k, best))
-        yield r, item, len(windows), len(covered) / n, consistent / slots if slots else 1.0, bool(same)
+        runs.sort(key=lambda f: (-f[2], -len(f[1]), f[0]))
+        judged = [_judged(x, letters, n, width, runs)]
+        if len(runs) > 1 and not (judged[0][1] == 1 and judged[0][2] >= consistency):
+            judged += [_judged(x, letters, n, width, [f]) for f in runs if len(f[1]) >= coverage * n]
+        yield r, item, *max(judged, key=lambda f: (f[1] >= coverage and f[2] >= consistency, f[1], f[2]))
 
 
 SCHEMA = "doc_id long, item_id long, windows long, coverage double, consistency double, exact boolean"
@@ -203,7 +227,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, coverage: float =
         def run(batch: pa.RecordBatch, shared=shared):
             for low, high, data, offsets in K.pieces(batch.column(1)):
                 own = shared.value
-                rows = [(batch.column(0)[low + r].as_py(), int(own.ids[i]), w, c, s, e) for r, i, w, c, s, e in matches(own, data, offsets) if c >= coverage and s >= consistency]
+                rows = [(batch.column(0)[low + r].as_py(), int(own.ids[i]), w, c, s, e) for r, i, w, c, s, e in matches(own, data, offsets, coverage, consistency) if c >= coverage and s >= consistency]
                 if rows:
                     types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[c.split()[0] for c in SCHEMA.split(", ")])
@@ -222,7 +246,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, coverage: floa
         def run(batch: pa.RecordBatch, shared=shared):
             for low, high, data, offsets in K.pieces(batch.column(at)):
                 kept = np.ones(high - low, bool)
-                for r, _, _, c, s, _ in matches(shared.value, data, offsets):
+                for r, _, _, c, s, _ in matches(shared.value, data, offsets, coverage, consistency):
                     kept[r] &= not (c >= coverage and s >= consistency)
                 yield batch.slice(low, high - low).filter(pa.array(kept))
 

@@ -46,3 +46,16 @@ def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contamination(frame, bench).count() == 0 and decontam.drop_contaminated(frame, bench).count() == 0
+
+
+def test_few_literals(spark):
+    """Whole copies of items of mostly numbers and names are reported, and so are halves with their own values."""
+    listed = "Which of these numbers is the largest prime that divides the product below? " + " ".join(f"{chr(65 + i)} {12 + 3 * i}" for i in range(11))
+    rulers = "Name the ruler who came first in this list: " + ", ".join(f"{n} {r}" for n in ("Henry", "Edward", "James", "George") for r in ("VI", "VII", "VIII"))
+    total = "Add up all of the following numbers for me: " + " ".join(str(17 * i % 101) for i in range(16))
+    items = [(1, listed), (2, rulers), (3, total), (4, "1 2 1 2 1 3 1 2 1 4 1 2 1 3 1 2 1 5")]
+    docs = [(i, FILL + t + " " + FILL) for i, t in items] + [(5, FILL + " ".join(total.split()[9:]) + " " + FILL), (6, FILL + " ".join(str(i) for i in range(200, 216)) + " " + FILL)]
+    frame, bench, got = run(spark, docs, items)
+    assert {(1, 1), (2, 2), (3, 3), (4, 4), (5, 3)} <= set(got) and not {(6, 1), (6, 2), (6, 3)} & set(got)
+    assert all(got[i, i].coverage == 1 and got[i, i].consistency == 1 and got[i, i].exact for i in range(1, 5))
+    assert not {1, 2, 3, 4, 5} & {r.doc_id for r in decontam.drop_contaminated(frame, bench).collect()}
