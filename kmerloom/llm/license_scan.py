@@ -3,11 +3,13 @@
 Sparse word n-grams (2 and 3 words, and single telling words) feed a softmax regression over licence families and a
 class ``unknown``. Training rows are made from the templates below, and from a bounded sample of paragraphs of the
 corpus as unknown ones. Temperature and bias of the unknown class are calibrated on held-out rows. A prediction is
-confirmed if enough of a template of the family stands in the paragraph.
+confirmed if enough of a template of the family stands in the paragraph: a line, or neighbouring lines that a notice is
+wrapped over.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,8 +104,8 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.append(start, len(data)), np.searchsorted(offsets, start, "right") - 1
 
 
-def hits(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(paragraph, number of the n-gram) of each n-gram of a paragraph that is among keys."""
+def spread_hits(data: np.ndarray, bounds: np.ndarray, row: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, last line, number) of each n-gram of a row that is among keys; no line without words lies within one."""
     plain = _PLAIN[data]
     starts, ends, first = K.words(plain, bounds)
     sums = K.prefix(K.span_hash(K.byte_prefix(plain), starts, ends))
@@ -116,10 +118,90 @@ def hits(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray) -> tuple[np.nda
         number = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
         good = keys[number] == h[at]
         at, number = at[good], number[good]
-        row = np.searchsorted(first, at, "right") - 1
-        inside = at + k <= first[row + 1]
-        found.append((row[inside], number[inside]))
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        line = np.array([np.searchsorted(first, at + i, "right") - 1 for i in range(k)])
+        near = (np.diff(line, axis=0) <= 1).all(axis=0) & (row[line[0]] == row[line[-1]])
+        found.append((line[0][near], line[-1][near], number[near]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def hits(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(paragraph, number of the n-gram) of each n-gram of a paragraph that is among keys."""
+    first, last, number = spread_hits(data, bounds, np.arange(len(bounds) - 1), keys)
+    return first, number
+
+
+def _wrapped(low: list[int], high: list[int], number: list[int], need: int, alone: set[int], other: set[int]) -> list[tuple[int, int]]:
+    """Bounds (first and last line) of the shortest runs of lines with so many different n-grams of a template, from the top.
+
+    A run takes in the lines that the notice runs on into: an n-gram crosses the break and the line has more of the
+    template. No run holds lines of ``other`` families' notices, nor takes in lines that are notices ``alone``.
+    """
+    of_line: dict[int, list[int]] = defaultdict(list)
+    for i, b in enumerate(high):
+        of_line[b].append(i)
+    crossed = {a for a, b in zip(low, high) if a < b} | {b - 1 for a, b in zip(low, high) if a < b}
+    touched = set(low) | set(high) | {a + 1 for a, b in zip(low, high) if a < b}
+    out, latest, floor = [], {}, -1  # latest: the last line at which each n-gram began
+    lines = sorted(touched)
+    at = 0
+    while at < len(lines):
+        b = lines[at]
+        if b in other or (at and lines[at - 1] != b - 1):
+            latest, floor = {}, b if b not in other else b + 1
+        for i in of_line[b]:
+            if low[i] >= floor:
+                latest[number[i]] = max(latest.get(number[i], -1), low[i])
+        at += 1
+        if len(latest) < need:
+            continue
+        a = sorted(latest.values(), reverse=True)[need - 1]
+
+        def held(a, b):
+            return {number[i] for line in range(a, b + 1) for i in of_line[line] if low[i] >= a}
+
+        own = held(a, b)
+        while b in crossed and b + 1 in touched and b + 1 not in alone and len(more := held(a, b + 1)) > len(own):
+            b, own = b + 1, more
+        while a - 1 >= floor and a - 1 in crossed and a - 1 in touched and a - 1 not in alone and len(more := held(a - 1, b)) > len(own):
+            a, own = a - 1, more
+        out.append((a, b))
+        latest, floor = {}, b + 1
+        while at < len(lines) and lines[at] <= b:
+            at += 1
+    return out
+
+
+def wrapped(m: Model, first: np.ndarray, last: np.ndarray, number: np.ndarray, row: np.ndarray, confirm: float, single: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(first line, last line, template) of each run of several lines that holds enough of a template's n-grams.
+
+    single: the lines that are confirmed notices by themselves, and their family.
+    """
+    order = np.lexsort((last, first))
+    first, last, number = first[order], last[order], number[order]
+    out = []
+    for t, (family, own) in enumerate(m.templates):
+        has = np.zeros(len(m.keys), bool)
+        has[own] = True
+        at = np.flatnonzero(has[number])
+        need = max(1, int(np.ceil(confirm * len(own) - 1e-9)))
+        if len(at) < need:
+            continue
+        low, high, n = first[at], last[at], number[at]
+        reach = np.maximum.accumulate(high)
+        new = np.ones(len(at), bool)  # a run of lines ends where a line has none of the template
+        new[1:] = (low[1:] > reach[:-1] + 1) | (row[low[1:]] != row[low[:-1]])
+        run = np.cumsum(new) - 1
+        pairs = np.unique(run * len(m.keys) + n) // len(m.keys)
+        rich = np.bincount(pairs, minlength=run[-1] + 1) >= need
+        edge = np.append(np.flatnonzero(new), len(at))
+        for i in np.flatnonzero(rich).tolist():
+            a, b = edge[i], edge[i + 1]
+            if low[a] == reach[b - 1]:
+                continue
+            near = {p: f for p in range(int(low[a]), int(reach[b - 1]) + 1) if (f := single.get(p)) is not None}
+            spans = _wrapped(low[a:b].tolist(), high[a:b].tolist(), n[a:b].tolist(), need, set(near), {p for p, f in near.items() if f != family})
+            out += [(p, q, t) for p, q in spans if p < q]
+    return out
 
 
 def vocabulary(texts: list[str]) -> np.ndarray:
@@ -201,41 +283,69 @@ SCHEMA = "doc_id long, paragraph long, start long, length long, family string, p
 
 
 def scan(documents: DataFrame, model: Model, threshold: float = THRESHOLD, confirm: float = CONFIRM) -> DataFrame:
-    """One row per paragraph (line) that the model takes for a licence notice.
+    """One row per paragraph (line, or run of lines) that the model takes for a licence notice.
 
-    paragraph counts the lines of the text from 0; start and length are in code points. family: the most probable one;
-    probability: calibrated, of any licence; similarity: largest share of a template's n-grams that the paragraph has,
-    over the family's templates; confirmed: similarity at least ``confirm``; unconfirmed predictions are reported as
-    family ``unknown``. Null and empty texts have no paragraphs; repeated rows are reported each.
+    paragraph counts the lines of the text from 0, the first one of a run; start and length are in code points. family:
+    the most probable one; probability: calibrated, of any licence; similarity: largest share of a template's n-grams
+    that the paragraph has, over the family's templates; confirmed: similarity at least ``confirm``; unconfirmed
+    predictions are reported as family ``unknown``. A notice that is wrapped over neighbouring lines, with no blank
+    line between, is one confirmed row, in place of its lines' own. Null and empty texts have no paragraphs; repeated
+    rows are reported each.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch):
         m = shared.value
         least = np.log(threshold / (1 - threshold))
+
+        def similar(own: np.ndarray, f: int) -> float:
+            return max((len(np.intersect1d(own, t, True)) / max(1, len(t)) for g, t in m.templates if g == f), default=0.0)
+
         for low, high, data, offsets in K.pieces(batch.column(1)):
             bounds, row = paragraphs(data, offsets)
-            where, number = hits(data, bounds, m.keys)
+            first, last, gram = spread_hits(data, bounds, row, m.keys)
+            where, number = first[first == last], gram[first == last]
             order = np.lexsort((number, where))
             where, number = where[order], number[order]
             fresh = np.ones(len(where), bool)
             fresh[1:] = (where[1:] != where[:-1]) | (number[1:] != number[:-1])
             where, number = where[fresh], number[fresh]
             near, at = np.unique(where, return_index=True)
-            if not len(near):
-                continue
-            z = np.add.reduceat(m.weights[number], at, axis=0) / np.sqrt(np.diff(np.append(at, len(where))))[:, None] + m.bias
-            margin = z[:, :-1].max(axis=1) - z[:, -1]
+            found: dict[tuple[int, int], tuple[int, float, float]] = {}  # first and last line: family, similarity, margin
+            if len(near):
+                z = np.add.reduceat(m.weights[number], at, axis=0) / np.sqrt(np.diff(np.append(at, len(where))))[:, None] + m.bias
+                margin = z[:, :-1].max(axis=1) - z[:, -1]
+                for i in np.flatnonzero(margin >= least):
+                    own = number[at[i] : at[i + 1] if i + 1 < len(at) else len(number)]
+                    f = int(z[i, :-1].argmax())
+                    found[int(near[i]), int(near[i])] = f, similar(own, f), float(margin[i])
+            single = {p: f for (p, _), (f, s, _) in found.items() if s >= confirm}
+            runs = []
+            if (first < last).any():
+                order = np.argsort(first, kind="stable")
+                first, last, gram = first[order], last[order], gram[order]
+                for p, q in {(p, q) for p, q, _ in wrapped(m, first, last, gram, row, confirm, single)}:
+                    at = slice(np.searchsorted(first, p), np.searchsorted(first, q, "right"))
+                    own = np.unique(gram[at][last[at] <= q])
+                    y = m.weights[own].sum(axis=0) / np.sqrt(len(own)) + m.bias
+                    f, edge = int(y[:-1].argmax()), float(y[:-1].max() - y[-1])
+                    if edge >= least and (s := similar(own, f)) >= confirm:
+                        runs.append((-s, q - p, p, q, f, edge))
+            used: set[int] = set()
+            for s, _, p, q, f, edge in sorted(runs):
+                if used.isdisjoint(range(p, q + 1)):
+                    used.update(range(p, q + 1))
+                    for line in range(p, q + 1):
+                        if single.get(line, f) == f:
+                            found.pop((line, line), None)
+                    found[p, q] = f, -s, edge
             out = []
-            for i in np.flatnonzero(margin >= least):
-                own = number[at[i] : at[i + 1] if i + 1 < len(at) else len(number)]
-                f = int(z[i, :-1].argmax())
-                similarity = max((len(np.intersect1d(own, t, True)) / max(1, len(t)) for g, t in m.templates if g == f), default=0.0)
-                p, r = near[i], row[near[i]]
+            for (p, q), (f, similarity, edge) in sorted(found.items()):
+                r = row[p]
                 start = int(((data[offsets[r] : bounds[p]] & 0xC0) != 0x80).sum())
-                line = data[bounds[p] : bounds[p + 1]]
+                line = data[bounds[p] : bounds[q + 1]]
                 length = int(((line & 0xC0) != 0x80).sum()) - (len(line) > 0 and line[-1] == 10)
-                out.append((batch.column(0)[low + int(r)].as_py(), int(p - np.searchsorted(row, r)), start, length, FAMILIES[f] if similarity >= confirm else UNKNOWN, float(L.sigmoid(margin[i])), float(similarity), bool(similarity >= confirm)))
+                out.append((batch.column(0)[low + int(r)].as_py(), int(p - np.searchsorted(row, r)), start, length, FAMILIES[f] if similarity >= confirm else UNKNOWN, float(L.sigmoid(edge)), float(similarity), bool(similarity >= confirm)))
             if out:
                 names = [x.split()[0] for x in SCHEMA.split(", ")]
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]

@@ -139,6 +139,24 @@ def test_licenses(spark):
     assert found == [(2, 1, 6, 31, "MIT"), (4, 1, 3, 28, "CC-BY-NC"), (5, 0, 0, 70, "GPL-3.0"), (5, 1, 71, 70, "GPL-3.0")]
 
 
+def test_wrapped_licenses(spark):
+    """Standard headers, wrapped at 70 to 80 columns, between other lines and as comments."""
+    headers = {
+        "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+        "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal\nin the Software without restriction, including without limitation the rights",
+        "Apache-2.0": "Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    }
+    received = "You should have received a copy of the GNU General Public License\nalong with this program. If not, see <https://www.gnu.org/licenses/>."
+    model = license_scan.fit(["the and of is with this", "words about nothing at all"] * 50)
+    texts = [f"é first line\nno notice here\n{t}\n\nother text" for t in headers.values()] + ["/*\n" + "".join(f" * {x}\n" for x in headers["GPL-3.0"].split("\n")) + " *\n" + "".join(f" * {x}\n" for x in received.split("\n")) + " */\n", "Licensed under CC BY 4.0.\nReleased under the MIT License.", received.replace("\n", "\n\n")]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    found = sorted((r.doc_id, r.paragraph, r.start, r.length, r.family) for r in got if r.doc_id < 6)
+    assert [f for f in found if f[0] < 4] == [(i, 2, 28, len(t), f) for i, (f, t) in enumerate(headers.items())]
+    assert [(i, p, f) for i, p, _, _, f in found if i >= 4] == [(4, 1, "GPL-3.0"), (4, 6, "GPL-3.0"), (5, 0, "CC-BY"), (5, 1, "MIT")]
+    assert not any(r.confirmed for r in got if r.doc_id == 6)
+
+
 def test_targets():
     got = mixing.targets([("b", 100), (None, 10), ("a", 1), ("c", 400)])
     assert got["a"] == pytest.approx(3)  # weights: a 1, b 2, c 3, null 1
