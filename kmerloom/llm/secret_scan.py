@@ -150,9 +150,8 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     edges = np.union1d(run, np.concatenate((offsets - 1, [len(data)])))
     long = np.flatnonzero(np.diff(edges) >= 24)  # one more than needed, as an edge can be a hexadecimal character itself
     hexes[np.searchsorted(offsets, edges[long] + 1, "right") - 1] = True
-    cues = np.zeros(len(offsets) - 1, bool)
-    at = np.fromiter((m.start() for m in _CUE.finditer(memoryview(data))), np.int64)
-    cues[np.searchsorted(offsets, at, "right") - 1] = True
+    whole, bounds = memoryview(data), offsets.tolist()  # each row's own bytes: no match goes over a row's end
+    cues = np.fromiter((_CUE.search(whole, low, high) is not None for low, high in zip(bounds, bounds[1:])), bool, len(bounds) - 1)
     return hexes, cues
 
 
