@@ -108,86 +108,125 @@ def cigar(extended: bool = False):
 
 
 def extend(pairs: list[tuple[np.ndarray, np.ndarray]], match: int = 1, mismatch: int = -1, gap: int = -1, drop: int = 7) -> list[tuple[int, int, int]]:
-    """Banded x-drop extensions from the start of each pair: (score, letters of a, letters of b).
+    """X-drop extensions from the start of each pair: (score, letters of a, letters of b).
 
-    All pairs advance row by row together. A row keeps 6 * drop + 1 diagonals; a pair ends when all its cells are more
-    than drop below its best.
+    All pairs advance row by row together. A pair's lanes are the diagonals around its live cells: they move with them,
+    and become more where live cells spread; a pair ends when all its cells are more than drop below its best.
     """
     out = [(0, 0, 0)] * len(pairs)
-    half, low = 3 * drop, -(1 << 20)
-    lanes = np.arange(-half, half + 1)
-    live = np.array([k for k, (a, b) in enumerate(pairs) if len(a) and len(b)], int)
-    if not len(live):
+    low = -(1 << 20)
+    keep = np.array([k for k, (a, b) in enumerate(pairs) if len(a) and len(b)], int)
+    if not len(keep):
         return out
-    live = live[np.argsort([-len(pairs[k][0]) for k in live], kind="stable")]
-    n, m = (np.array([len(pairs[k][s]) for k in live]) for s in (0, 1))
-    wide_a, wide_b = np.zeros((len(live), n.max()), np.uint8), np.zeros((len(live), m.max() + 2 * half + n.max() + 2), np.uint8)
-    for r, k in enumerate(live):
-        wide_a[r, : n[r]] = pairs[k][0]
-        wide_b[r, half : half + m[r]] = pairs[k][1]
-    row = np.where(lanes >= 0, lanes * gap, low) * np.ones((len(live), 1), int)
-    row[row < -drop] = low
-    best, place = np.zeros(len(live), int), np.zeros((len(live), 2), int)
-    keep = np.arange(len(live))
-    for i in range(1, n.max() + 1):
-        keep = keep[n[keep] >= i]
-        if not len(keep):
-            break
-        old = row[keep]
-        letters = wide_b[keep, i - 1 : i + 2 * half]
-        j = i + lanes
-        new = old + np.where(letters == wide_a[keep, i - 1 : i], match, mismatch)
-        new[:, j < 1] = low
-        new[:, :-1] = np.maximum(new[:, :-1], old[:, 1:] + gap)
-        new[(j < 0) | (j > m[keep][:, None])] = low
+    reach = drop // -gap + 1  # lanes that a row's live cells can spread to the right; one to the left
+    size = 2 * reach + 4
+    n, m = (np.array([len(p[s]) for p in pairs]) for s in (0, 1))
+    flat_a, flat_b = (np.concatenate([p[s] for p in pairs]) for s in (0, 1))
+    begin_a, begin_b = np.cumsum(n) - n, np.cumsum(m) - m
+    best, place = np.zeros(len(pairs), int), np.zeros((len(pairs), 2), int)
+    base = np.full(len(keep), -2)  # diagonal of the first lane
+    lanes = np.arange(size)
+    row = np.where((lanes >= 2) & ((lanes - 2) * gap >= -drop), (lanes - 2) * gap, low) * np.ones((len(keep), 1), int)
+    row[lanes - 2 > m[keep][:, None]] = low
+    i = 0
+    while len(keep):
+        i += 1
+        here = n[keep] >= i
+        if not here.all():
+            keep, base, row = keep[here], base[here], row[here]
+            if not len(keep):
+                break
+        j = i + base[:, None] + lanes
+        wide = m[keep][:, None]
+        outside = (j < 0) | (j > wide)
+        letters = flat_b[begin_b[keep][:, None] + np.clip(j - 1, 0, wide - 1)]
+        new = row + np.where(letters == flat_a[begin_a[keep] + i - 1][:, None], match, mismatch)
+        new[j < 1] = low
+        new[:, :-1] = np.maximum(new[:, :-1], row[:, 1:] + gap)
+        new[outside] = low
         new = np.maximum.accumulate(new - lanes * gap, axis=1) + lanes * gap
-        new[(j < 0) | (j > m[keep][:, None])] = low
+        new[outside] = low
         top, at = new.max(axis=1), new.argmax(axis=1)
         better = top > best[keep]
         best[keep[better]] = top[better]
-        place[keep[better], 0], place[keep[better], 1] = i, j[at[better]]
+        place[keep[better], 0], place[keep[better], 1] = i, j[better, at[better]]
         new[new < best[keep][:, None] - drop] = low
-        row[keep] = new
-        keep = keep[(new > low).any(axis=1)]
-    for r, k in enumerate(live):
-        out[k] = (int(best[r]), int(place[r, 0]), int(place[r, 1]))
-    return out
+        alive = new > low // 2
+        new[~alive] = low
+        ok = alive.any(axis=1)
+        if not ok.all():
+            keep, base, new, alive = keep[ok], base[ok], new[ok], alive[ok]
+            if not len(keep):
+                break
+        left, right = alive.argmax(axis=1), len(lanes) - 1 - alive[:, ::-1].argmax(axis=1)
+        if (left < 1).any() or (right + reach >= len(lanes)).any():
+            size = max(len(lanes), int((right - left).max()) + 2 * reach + 4)
+            source = left[:, None] - 2 + np.arange(size)
+            inside = (source >= 0) & (source < len(lanes))
+            new = np.where(inside, np.take_along_axis(new, np.clip(source, 0, len(lanes) - 1), 1), low)
+            base, lanes = base + left - 2, np.arange(size)
+        row = new
+    return [(int(best[k]), int(place[k, 0]), int(place[k, 1])) for k in range(len(pairs))]
 
 
 def seed_alignment(k: int, **scores):
-    """Arrow UDF (seq1, seq2, pos1, pos2) to struct(score, begin1, end1, begin2, end2) of the seed extended both ways; the second read is turned if the k-mers agree as reverse complements."""
+    """Arrow UDF (seq1, seq2, seeds) to struct(pos1, pos2, score, begin1, end1, begin2, end2) of the best of the pair's seeds (pos1, pos2), each extended both ways; the second read is turned if the k-mers agree as reverse complements.
+
+    Of seeds that follow one another letter by letter, the first is extended: the others lie on its equal letters and
+    reach the same ends. Of equal scores, the first seed's counts.
+    """
     flip = str.maketrans("ACGT", "TGCA")
 
-    def block(rows) -> list[tuple[int, int, int, int, int]]:
+    def block(rows) -> list[tuple[int, ...]]:
         right, left, seeds = [], [], []
-        for x, y, p, q in rows:
-            if x[p : p + k] != y[q : q + k]:
-                y, q = y.translate(flip)[::-1], len(y) - q - k
-            a, b = (np.frombuffer(z.encode(), np.uint8) for z in (x, y))
-            right.append((a[p + k :], b[q + k :]))
-            left.append((a[:p][::-1], b[:q][::-1]))
-            seeds.append((p, q))
+        for number, x, y, turned, p, q in rows:
+            right.append((x[p + k :], y[q + k :]))
+            left.append((x[:p][::-1], y[:q][::-1]))
+            seeds.append((number, turned, p, q, len(y)))
         both = zip(seeds, extend(left, **scores), extend(right, **scores))
-        return [(k * scores.get("match", 1) + f[0] + g[0], p - f[1], p + k + g[1], q - f[2], q + k + g[2]) for (p, q), f, g in both]
-
-    @F.pandas_udf("score int, begin1 int, end1 int, begin2 int, end2 int")
-    def apply(s1: pd.Series, s2: pd.Series, p1: pd.Series, p2: pd.Series) -> pd.DataFrame:
-        rows = list(zip(s1, s2, p1, p2))
-        out = [r for low in range(0, len(rows), 128) for r in block(rows[low : low + 128])]
-        return pd.DataFrame(out, columns=["score", "begin1", "end1", "begin2", "end2"])
+        return [(number, p, size - q - k if turned else q, k * scores.get("match", 1) + f[0] + g[0], p - f[1], p + k + g[1], q - f[2], q + k + g[2]) for (number, turned, p, q, size), f, g in both]
+
+    def tasks(s1, s2, places):
+        for number, (x, y, own) in enumerate(zip(s1, s2, places)):
+            back = y.translate(flip)[::-1]
+            a, b, c = (np.frombuffer(z.encode(), np.uint8) for z in (x, y, back))
+            kept = {(turned := x[s["pos1"] : s["pos1"] + k] != y[s["pos2"] : s["pos2"] + k], s["pos1"], len(y) - s["pos2"] - k if turned else s["pos2"]) for s in own}
+            for turned, p, q in sorted(kept):
+                if (turned, p - 1, q - 1) not in kept:
+                    yield number, a, c if turned else b, turned, p, q
+
+    @F.pandas_udf("pos1 int, pos2 int, score int, begin1 int, end1 int, begin2 int, end2 int")
+    def apply(s1: pd.Series, s2: pd.Series, places: pd.Series) -> pd.DataFrame:
+        best: dict[int, tuple[int, ...]] = {}
+        rows, letters = [], 0
+
+        def settle():
+            for number, *found in block(rows):
+                if number not in best or (-found[2], found[0], found[1]) < (-best[number][2], best[number][0], best[number][1]):
+                    best[number] = tuple(found)
+
+        for task in tasks(s1, s2, places):
+            rows.append(task)
+            letters += len(task[1]) + len(task[2])
+            if len(rows) >= 1024 or letters >= 1 << 24:
+                settle()
+                rows, letters = [], 0
+        settle()
+        return pd.DataFrame([best[i] for i in range(len(s1))], columns=["pos1", "pos2", "score", "begin1", "end1", "begin2", "end2"])
 
     return apply
 
 
-def align_overlaps(places: DataFrame, reads: DataFrame, k: int, seeds: int = 1, minimum: int = 50, adaptive: bool = False, error: float = 0.15, delta: float = 0.2, **scores) -> DataFrame:
-    """Seeds of read pairs (r1, r2, pos1, pos2), ``seeds`` per pair, extended with x-drop and filtered by score.
+def align_overlaps(places: DataFrame, reads: DataFrame, k: int, seeds: int | None = None, minimum: int = 50, adaptive: bool = False, error: float = 0.15, delta: float = 0.2, **scores) -> DataFrame:
+    """The best alignment of each read pair over its seeds (r1, r2, pos1, pos2), extended with x-drop and filtered by score; ``seeds`` first ones of a pair only, if given.
 
     Adaptive: the least score is (1 - delta) times the expected score at this error rate over the overlap's length.
     """
-    pairs = places.groupBy("r1", "r2").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos1", "pos2"))), 1, seeds).alias("s")).select("r1", "r2", F.inline("s"))
+    own = F.sort_array(F.collect_list(F.struct("pos1", "pos2")))
+    pairs = places.groupBy("r1", "r2").agg((F.slice(own, 1, seeds) if seeds else own).alias("s"))
     for i in (1, 2):
         pairs = pairs.join(reads.select(F.col("read_id").alias(f"r{i}"), F.col("seq").alias(f"seq{i}")), f"r{i}")
-    scored = pairs.select("r1", "r2", "pos1", "pos2", seed_alignment(k, **scores)("seq1", "seq2", "pos1", "pos2").alias("a")).select("r1", "r2", "pos1", "pos2", "a.*")
+    scored = pairs.select("r1", "r2", seed_alignment(k, **scores)("seq1", "seq2", "s").alias("a")).select("r1", "r2", "a.*")
     if adaptive:
         length = F.least(F.col("end1") - F.col("begin1"), F.col("end2") - F.col("begin2"))
         return scored.where(F.col("score") >= (1 - delta) * (1 - 2 * error) * length)

@@ -197,7 +197,7 @@ def hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reads(spark, sf_dir)
-    return align.align_overlaps(overlap.shared_places(r, 31, LOW, HIGH), r, 31)
+    return align.align_overlaps(overlap.shared_places(r, K, LOW, HIGH), r, K)
 
 
 def log_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Operators on small frames: invariants, edge reads, sketches, sources and streams."""
 
 import gzip
+import itertools
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kmerloom.plans import session
+from kmerloom.plans import catalog, session
 from kmerloom.operators import align, kmers, overlap, sketches, supermers, variants
 from kmerloom.sources import fastq, runlog, synthetic
 from kmerloom.streaming import counts as streaming
@@ -63,6 +65,59 @@ def test_overlaps(spark):
     assert tuple(both) == (4, 4, 4, 0, 3)
 
 
+def plain_extend(a, b, drop=7):
+    low = -(1 << 20)
+    row, best, place = [-j if j <= drop else low for j in range(len(b) + 1)], 0, (0, 0)
+    for i in range(1, len(a) + 1):
+        new = [row[0] - 1]
+        for j in range(1, len(b) + 1):
+            new.append(max(row[j] - 1, new[j - 1] - 1, row[j - 1] + (1 if a[i - 1] == b[j - 1] else -1)))
+        if max(new) > best:
+            best, place = max(new), (i, new.index(max(new)))
+        row = [v if v >= best - drop else low for v in new]
+        if max(row) == low:
+            break
+    return best, *place
+
+
+def test_extend_moves_band():
+    base = "".join(random.choice("ACGT") for _ in range(600))
+    pairs = [(base, "".join(base[i : i + 15] + "G" for i in range(0, 600, 15)))]
+    for _ in range(60):
+        a = "".join(random.choice("ACGT") for _ in range(random.randrange(150)))
+        pairs.append((a, "".join(random.choice(["", c, c, c, c, c, c, c + "T", "A"]) for c in a)))
+    got = align.extend([tuple(np.frombuffer(z.encode(), np.uint8) for z in p) for p in pairs])
+    assert got == [plain_extend(*p) for p in pairs] and got[0][2] - got[0][1] > 21
+
+
+def test_seed_alignment_query(spark, tmp_path):
+    """The query against brute force over all seeds of all pairs, one of them with a chance seed before the true one."""
+    letter = lambda n: "".join(random.choice("acgt") for _ in range(n))
+    flip = str.maketrans("ACGT", "TGCA")
+    chance, true, broken = letter(17), letter(60), letter(120)
+    texts = [chance + letter(40) + true, letter(30) + chance + letter(70) + true + letter(9), broken, "".join(broken[i : i + 20] + "a" for i in range(0, 120, 20)), letter(90)]
+    docs = [t.translate(str.maketrans("acgt", "abcd")) for t in texts]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.r1, r.r2): tuple(r)[2:] for r in catalog.QUERIES["seed_alignment"](spark, str(tmp_path)).collect()}
+    seqs = {r.read_id: r.seq for r in catalog.reads(spark, str(tmp_path)).collect()}
+    places = defaultdict(set)
+    for i, s in seqs.items():
+        for p in range(len(s) - K + 1):
+            w = s[p : p + K]
+            places[min(w, w.translate(flip)[::-1])].add((i, p))
+    want = {}
+    for at in places.values():
+        for (i, p), (j, q) in itertools.product(at, at) if 2 <= len(at) <= 8 else []:
+            if i < j:
+                x, y, z = seqs[i], seqs[j], q
+                if x[p : p + K] != y[q : q + K]:
+                    y, z = y.translate(flip)[::-1], len(y) - q - K
+                f, g = plain_extend(x[:p][::-1], y[:z][::-1]), plain_extend(x[p + K :], y[z + K :])
+                want[i, j] = max(want.get((i, j), 0), K + f[0] + g[0])
+    assert {(1, 2), (3, 4)} <= set(got)
+    assert {p: a[2] for p, a in got.items()} == {p: s for p, s in want.items() if s >= 50}
+
+
 def test_snp(spark):
     frame = lambda rows: spark.createDataFrame(rows, "kmer string, cnt long")
     child = frame([("ACGA", 45), ("ACGT", 44), ("CCCA", 45), ("CCCG", 45), ("CCCT", 45), ("TTTA", 45), ("TTTC", 10)])
