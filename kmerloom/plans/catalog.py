@@ -180,7 +180,7 @@ def pattern_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hash_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact public hashes of the region and nation names."""
-    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+    names = table(spark, sf_dir, "region").select(F.col("r_name").alias("name")).unionAll(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
     functions = {"murmur3_64": hashes.murmur3_64, "murmur2_64": hashes.murmur2_64, "murmur2_32": hashes.murmur2_32, "x31": hashes.x31}
     return names.select("name", *(hashes.hash_udf(f)("name").alias(n) for n, f in functions.items()))
 

@@ -38,5 +38,13 @@ def test_query(spark, small, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no tables here")
+def test_hash_values_of_both_tables(spark, small):
+    folder, con = small
+    got = catalog.QUERIES["hash_values"](spark, folder).toPandas()
+    want = con.execute("select r_name from region union all select n_name from nation").fetchall()
+    assert sorted(got["name"]) == sorted(n for n, in want)
+
+
 def test_catalog_names():
     assert set(catalog.ORACLE) <= set(catalog.QUERIES)
