@@ -1,10 +1,8 @@
-"""Substring dedup by relative Lempel-Ziv parsing, over words.
+"""Substring dedup by hashes of word windows, in place of a relative Lempel-Ziv parse.
 
 Reference blocks are the strips of all documents with one anchor (see ``spans``): every 50-word window of the corpus is
-indexed in exactly one block. A document's strip is factored greedily against its block, as far as the block's text
-comes from documents with smaller ids: from the first word where the index has the next 50 words, the factor goes on
-while the index has the window one word further, else it ends and the parse goes on behind. A factor of at least 50
-words is a duplicate span. Windows that cross a factor's boundary are looked up as well, so none is missed.
+in exactly one block. A block's windows are grouped by hash, and a window that a document with a smaller id has is a
+duplicate. Runs of such windows are joined to spans; a run has no one source place and may go on in another document.
 """
 
 from __future__ import annotations
@@ -41,7 +39,7 @@ def factors(texts: list[bytes], anchor: np.ndarray, doc: np.ndarray, start: np.n
     fresh[1:] = (w[1:] != w[:-1]) | (a[1:] != a[:-1])
     least = np.empty(len(w), np.int64)
     least[order] = d[np.maximum.accumulate(np.where(fresh, np.arange(len(w)), 0))]
-    # greedy parse: a factor is a maximal run of windows that the index has from smaller documents
+    # maximal runs of windows that smaller documents have
     known = least < doc[row]
     head = np.flatnonzero(known & ~np.concatenate(([False], known[:-1] & (row[1:] == row[:-1]))))
     tail = np.flatnonzero(known & ~np.concatenate((known[1:] & (row[1:] == row[:-1]), [False])))
