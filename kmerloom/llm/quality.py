@@ -37,20 +37,24 @@ class Model:
         return L.sigmoid(self.a * L.raw_scores(data, offsets, SPEC, self.weights) + self.b)
 
 
-def labelled(documents: DataFrame, labels: DataFrame, label: str, limit: int) -> list[tuple[str, int]]:
-    """Texts and labels of at most ``limit`` rows of either class, chosen by hash of the id."""
+def labelled(documents: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list[tuple[str, int]], tuple[int, int]]:
+    """Texts and labels of at most ``limit`` documents of either class, chosen by hash of the id, and the numbers of all labels 0 and 1.
+
+    Documents that share an id count once, with their least text.
+    """
     ids = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("y"))
     draw = [ids.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for c in (0, 1)]
     chosen = draw[0].unionAll(draw[1])
-    rows = clean_texts(documents).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()  # at most 2 * limit rows
-    return [(r["text"], int(r["y"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))]
+    found = clean_texts(documents).join(F.broadcast(chosen), "doc_id")  # at most 2 * limit rows
+    rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect()
+    whole = {int(r["y"]): r["n"] for r in ids.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [(r["text"], int(r["y"])) for r in sorted(rows, key=lambda r: r["doc_id"])], (whole.get(0, 0), whole.get(1, 0))
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """None if the labels hold a class with fewer than 8 rows: then no row is rejected by the model."""
-    rows = labelled(documents, labels, "quality", sample)
-    whole = {r["quality"]: r["n"] for r in labels.where(F.col("quality").isin(0, 1)).groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return fit([t for t, _ in rows], np.array([y for _, y in rows]), (whole.get(0, 0), whole.get(1, 0)))
+    rows, whole = labelled(documents, labels, "quality", sample)
+    return fit([t for t, _ in rows], np.array([y for _, y in rows], int), whole)
 
 
 def fit(texts: list[str], y: np.ndarray, whole: tuple[int, int] | None = None) -> Model | None:

@@ -67,7 +67,7 @@ def features(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> tuple[n
 
 
 def lexicon(texts: list[str | None], y: np.ndarray) -> np.ndarray:
-    """Hashes of words associated with toxic rows."""
+    """Hashes of words associated with toxic rows: at least twice as frequent in them as in clean rows, whatever the classes' shares of the sample."""
     data, offsets = L.texts_of(texts)
     h, first = word_hashes(data, offsets)
     row = K.rows_of(first)
@@ -82,7 +82,7 @@ def lexicon(texts: list[str | None], y: np.ndarray) -> np.ndarray:
     g = np.zeros(len(keys))
     for seen, expect in ((bad, total * n1 / n), (total - bad, total * (n - n1) / n), (n1 - bad, (n - total) * n1 / n), (n - n1 - total + bad, (n - total) * (n - n1) / n)):
         g += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expect, 1e-9)), 0)
-    return keys[(total >= MIN_ROWS) & (g >= MIN_G) & (bad / np.maximum(total, 1) > 2 * n1 / n)] if n else keys
+    return keys[(total >= MIN_ROWS) & (g >= MIN_G) & (bad * max(1, n - n1) > 2 * (total - bad) * n1)] if n else keys
 
 
 def grades(count: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -92,22 +92,32 @@ def grades(count: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(y == 1, 1 + (count[:, None] > cuts).sum(axis=1), 0)
 
 
-def fit(texts: list[str | None], y: np.ndarray) -> Model | None:
-    """None with fewer than 8 rows of a class. Near copies are left out of training: they would fake evidence."""
+def fit(texts: list[str | None], y: np.ndarray, whole: tuple[int, int] | None = None) -> Model | None:
+    """None with fewer than 8 rows of a class, or if no word is associated with toxic rows: a model without features would judge all texts alike.
+
+    ``whole``: numbers of clean and toxic rows among all labels; rows weigh as their class does there, not in the sample.
+    Near copies are left out of training: they would fake evidence.
+    """
     fresh = ~L.near_copies(texts)
     texts, y = [t for t, f in zip(texts, fresh) if f], y[fresh]
     if min((y == 1).sum(), (y == 0).sum(), len(y)) < 8:
         return None
     keys = lexicon(texts, y)
+    if not len(keys):
+        return None
     data, offsets = L.texts_of(texts)
     row, column, count = features(data, offsets, keys)
     grade = grades(np.bincount(row, count, len(y)), y)
-    return Model(keys, *cumulative_link(row, column, np.log1p(count), grade, len(keys)))
+    weight = np.ones(len(y))
+    if whole and min(whole):
+        weight = np.where(y == 1, whole[1] / (y == 1).sum(), whole[0] / (y == 0).sum())
+    return Model(keys, *cumulative_link(row, column, np.log1p(count), grade, len(keys), weight))
 
 
-def cumulative_link(row, column, value, grade, width, steps: int = 600, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds, by Adam on the mean negative log-likelihood; thresholds are t_1 and positive gaps."""
+def cumulative_link(row, column, value, grade, width, weight=None, steps: int = 600, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds, by Adam on the weighted mean negative log-likelihood; thresholds are t_1 and positive gaps."""
     n, cuts = len(grade), GRADES - 1
+    share = np.full(n, 1 / n) if weight is None else weight / weight.sum()
     theta = np.concatenate((np.zeros(width), [1.0], np.full(cuts - 1, np.log(0.5))))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
@@ -118,13 +128,12 @@ def cumulative_link(row, column, value, grade, width, steps: int = 600, rate: fl
         at = np.arange(n)
         a, b = up[at, grade], up[at, grade + 1]
         p = np.maximum(a - b, 1e-9)
-        da, db = a * (1 - a) / p, b * (1 - b) / p
+        da, db = share * a * (1 - a) / p, share * b * (1 - b) / p
         g = np.zeros_like(theta)
         g[:width] = np.bincount(column, value * (db - da)[row], width)
         gc = np.array([da[grade == j + 1].sum() - db[grade == j].sum() for j in range(cuts)])
         g[width] = gc.sum()
         g[width + 1 :] = np.cumsum(gc[::-1])[::-1][1:] * gap
-        g /= n
         g[:width] += l2 * theta[:width]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -132,8 +141,8 @@ def cumulative_link(row, column, value, grade, width, steps: int = 600, rate: fl
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    rows = labelled(documents, labels, "toxic", sample)
-    return fit([t for t, _ in rows], np.array([y for _, y in rows], int))
+    rows, whole = labelled(documents, labels, "toxic", sample)
+    return fit([t for t, _ in rows], np.array([y for _, y in rows], int), whole)
 
 
 SCHEMA = "doc_id long, severity double, grade int, toxic boolean"

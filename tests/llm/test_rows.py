@@ -135,6 +135,42 @@ def test_toxicity_ordinal():
     assert few < many
 
 
+@pytest.mark.parametrize("share", [0.05, 0.3, 0.5, 0.8, 0.95])
+def test_toxicity_train(spark, share):
+    """Whatever the classes' shares of sample and labels, the lexicon holds the toxic words only."""
+    rng = random.Random(int(share * 100))
+    vocab = [a + b for a in ("ka", "lo", "mi", "ren", "sto", "pul") for b in ("ta", "vi", "ro", "ne", "sk")]
+    docs, labels = [], []
+    for i in range(600):
+        y = int(rng.random() < share)
+        words = [rng.choice(vocab) for _ in range(60)] + ["vilnog", "drakh"] * (y * rng.randrange(1, 4))
+        rng.shuffle(words)
+        docs.append((i, " ".join(words), "clash"))
+        if i < 400:
+            labels += [(i, y, 0)] * (1 + i % 2)
+    docs = spark.createDataFrame(docs + docs[:5], "doc_id long, text string, y string")
+    model = toxicity.train(docs, spark.createDataFrame([*labels, (None, 1, 0), (10**9, 0, 0)], "doc_id long, toxic int, quality int"), 150)
+    assert len(model.keys) == 2 and (np.diff(model.cuts) > 0).all()
+    got = {r.doc_id: r.toxic for r in toxicity.score(docs, model).collect()}
+    assert all(got[r.doc_id] == ("vilnog" in r.text) for r in docs.collect())
+
+
+def test_toxicity_without_evidence(spark):
+    """No word tells the classes apart: no model, instead of one that judges all alike. Empty tables give no model and no rows."""
+    texts = ["one two three four five six"] * 40
+    assert toxicity.fit([f"{t} {i} {i * 7}" for i, t in enumerate(texts)], np.arange(40) % 2) is None
+    empty = frame(spark, TEXTS).limit(0)
+    assert toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int")) is None
+    assert toxicity.score(empty, None).count() == 0
+
+
+def test_labelled_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 20, f"t{i}") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    rows, whole = quality.labelled(docs, labels, "quality", 5)
+    assert len(rows) == 10 and whole == (10, 10)
+
+
 def test_toxicity_rows(spark):
     got = toxicity.score(frame(spark, TEXTS), None).collect()
     assert len(got) == len(TEXTS) + 1 and not any(r.toxic for r in got)
