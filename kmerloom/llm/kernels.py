@@ -22,11 +22,14 @@ WORDY = ~SPACE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Hashes of spans are polynomials modulo this prime. Modulo a power of two, long texts of two alternating parts (as in the Thue-Morse sequence) would collide whatever the base.
+PRIME = (1 << 61) - 1
 _rng = np.random.default_rng(20240601)
-TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(BASE, -1, 2**64)
+TABLE = _rng.permutation(1 << 20)[:256].astype(np.uint64) + U(1 << 28)
+BASE = 0x1E3779B97F4A7C15 % PRIME
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Elements of one step: its temporary arrays stay in the processor's cache.
+STEP = 1 << 15
 
 
 def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -66,37 +69,87 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """The same residue, at most PRIME + 7."""
+    return (x & U(PRIME)) + (x >> U(61))
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    x = _folded(x)
+    x -= U(PRIME) * (x >= U(PRIME))
+    return x
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME, up to PRIME + 7, of numbers up to that, by halves of 31 bits."""
+    low, m31, m30 = U(31), U((1 << 31) - 1), U((1 << 30) - 1)
+    a1, a0, b1, b0 = a >> low, a & m31, b >> low, b & m31
+    middle = a1 * b0 + a0 * b1
+    return _folded(((a1 * b1) << U(1)) + (middle >> U(30)) + ((middle & m30) << low) + a0 * b0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n at least."""
     if len(_powers[0]) < n:
         size = max(n, 1 << 16)
-        for i, base in enumerate((BASE, _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
+        for i, base in enumerate((BASE, pow(BASE, -1, PRIME))):
+            p = np.ones(1, np.uint64)
+            while len(p) < size:
+                p = np.concatenate((p, _residue(times(p, U(pow(base, len(p), PRIME))))))
+            _powers[i] = p
     return _powers[0], _powers[1]
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values times powers of the base: any span's hash is one subtraction and one product."""
+def prefix(values: np.ndarray, small: bool = False) -> np.ndarray:
+    """Prefix sums of values times powers of the base, modulo PRIME: any span's hash is one difference and one product.
+
+    small: values are below 2^29, so that a product takes two multiplications.
+    """
     n = len(values)
     out = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(n + 1)[0][:n], out=out[1:])
+    power = powers(n + 1)[0]
+    last = U(0)
+    for low in range(0, n, STEP):
+        high = min(n, low + STEP)
+        v, p = values[low:high], power[low:high]
+        if small:
+            y = v * (p >> U(32))
+            term = _folded((y >> U(29)) + ((y & U((1 << 29) - 1)) << U(32)) + v * (p & U((1 << 32) - 1)))
+        else:
+            term = times(_folded(v), p)
+        term[0] += last
+        total = np.cumsum(term)
+        wraps = np.zeros(high - low, np.uint64)  # 2^64 is 8 modulo PRIME
+        np.cumsum(total[1:] < total[:-1], out=wraps[1:])
+        out[low + 1 : high + 1] = _residue(_folded(total) + (wraps << U(3)))
+        last = out[high]
     return out
 
 
 def byte_prefix(data: np.ndarray) -> np.ndarray:
-    return prefix(TABLE[data])
+    return prefix(TABLE[data], True)
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the spans [start, end), alike for equal contents wherever they stand."""
-    return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts] + (ends - starts).astype(np.uint64))
+    back = powers(len(sums))[1]
+    out = np.empty(len(starts), np.uint64)
+    for low in range(0, len(starts), STEP):
+        s, e = starts[low : low + STEP], ends[low : low + STEP]
+        h = _residue(times(sums[e] + (U(PRIME) - sums[s]), back[s]))
+        out[low : low + STEP] = mix(h + ((e - s).astype(np.uint64) << U(40)))
+    return out
 
 
 def gram_hash(sums: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all spans of k units; the last is at len - k."""
-    n = len(sums) - k
-    return mix((sums[k:] - sums[:n]) * powers(len(sums))[1][:n]) if n > 0 else np.zeros(0, np.uint64)
+    n = max(0, len(sums) - k)
+    back = powers(len(sums))[1]
+    out = np.empty(n, np.uint64)
+    for low in range(0, n, STEP):
+        high = min(n, low + STEP)
+        out[low:high] = mix(_residue(times(sums[low + k : high + k] + (U(PRIME) - sums[low:high]), back[low:high])))
+    return out
 
 
 def rows_of(first: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ SUBSETS = np.array([_rng.choice(MINIMA, ROWS, replace=False) for _ in range(BAND
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit shingle hashes, sorted and distinct within each row, and each row's bounds.
+    """64-bit shingle hashes, sorted and distinct within each row, and each row's bounds.
 
     Letters A-Z are lower-cased. A row with fewer words than a shingle has them all as its one shingle; one without has none.
     """
@@ -46,16 +46,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> t
     row = np.repeat(np.arange(len(count)), many)
     low = np.arange(many.sum()) + np.repeat(first[:-1] - (np.cumsum(many) - many), many)
     h = K.span_hash(sums, low, low + np.minimum(count, words)[row])
-    key = np.sort((row.astype(np.uint64) << K.U(48)) | (h >> K.U(16)))
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = key[1:] != key[:-1]
-    key = key[fresh]
-    return key & K.U((1 << 48) - 1), np.searchsorted(key >> K.U(48), np.arange(len(count) + 1))
+    order = np.argsort(h)
+    order = order[np.argsort(row.astype(np.uint16)[order], kind="stable")]  # pieces have at most 65,535 rows: a radix sort
+    h, row = h[order], row[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[fresh], np.searchsorted(row[fresh], np.arange(len(count) + 1))
 
 
 def minima(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Minima of each row's set under each hash; no row may be empty."""
-    x = (keys >> K.U(8)).astype(np.uint32)
+    x = (keys >> K.U(32)).astype(np.uint32)
     out = np.empty((len(starts), MINIMA), np.uint32)
     for j, factor in enumerate(FACTORS):
         out[:, j] = np.minimum.reduceat(x * factor, starts)
@@ -71,7 +72,7 @@ def packed(values: np.ndarray) -> np.ndarray:
 def band_keys(values: np.ndarray) -> np.ndarray:
     key = np.zeros((len(values), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
     for j in range(ROWS):
-        key = K.mix(key * K.U(K.BASE) + values[:, SUBSETS[:, j]])
+        key = K.mix(key * K.U(0x9E3779B97F4A7C15) + values[:, SUBSETS[:, j]])
     return key
 
 

@@ -2,9 +2,13 @@
 
 import random
 import re
+import sys
+from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 from kmerloom.llm import near_dup
 
 
@@ -73,6 +77,15 @@ def test_components(spark, percent, monkeypatch):
     assert kept.columns == frame.columns and kept.count() == sum(r.kept for r in got)
 
 
+def test_texts_that_fool_plain_hashes(spark):
+    from test_spans import thue_morse
+
+    one, two = thue_morse(2048)
+    docs = [(1, f"a b {one} c d"), (2, f"a b {two} c d"), (3, f"a b {one} c d"), (4, one), (5, two)]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert near_dup.near_duplicates(frame).count() == 0

@@ -53,6 +53,16 @@ def test_quality_counts(spark):
             assert r.kept == (not r.base_failed)
 
 
+def test_quality_lines_that_fool_plain_hashes():
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    for t in (f"{one}\n{two}", f"{one}\n{two}\n{one}", f"w x {one} y z w x {two} y z"):
+        c = quality.counts(*linear.texts_of([t]))
+        assert tuple(int(c[k][0]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == plain_counts(t)
+
+
 def test_quality_model_holds_out():
     good = [" ".join(random.choice("lorem ipsum dolor sit amet elit sed".split()) for _ in range(80)) for _ in range(120)]
     bad = [" ".join(random.choice(["BUY!!", "$$$", "x%%%", "now###"]) for _ in range(80)) for _ in range(120)]

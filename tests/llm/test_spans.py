@@ -33,6 +33,14 @@ def corpus(seed, n=90):
     return docs
 
 
+def thue_morse(length):
+    """A text of two letters and its opposite: hashes modulo a power of two can't tell them apart from 1,024 letters on."""
+    one = "a"
+    while len(one) < length:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
 def brute_words(docs, length=50):
     first = {}
     words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in docs}
@@ -112,6 +120,16 @@ def test_merge_orders_like_sorting():
     assert all((heads[i] == heads[i + 1]) == (block[i] == block[i + 1]) for i in range(len(heads) - 1))
 
 
+def test_texts_that_fool_plain_hashes(spark):
+    one, two = thue_morse(2048)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(1, " ".join([*words, one])), (2, " ".join([*words[:30], two, *words[30:], one])), (3, one + two), (4, two + one), (5, f"{one}\n{two}\n{one}")]
+    docs += [(6, " ".join([*words[:30], one, *words[30:]])), (7, " ".join([*words[:30], two, *words[30:]]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: tuple(r)[1:4] for r in substring_dedup.dedup(frame).collect()} == brute_words(docs)
+    assert {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.dedup(frame).collect()} == brute_bytes(docs)
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.dedup(frame).count() == 0 and suffix_dedup.dedup(frame).count() == 0
