@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 PIECE = 1 << 20
 CODE = np.full(256, 4, np.uint8)
-CODE[list(b"ACGT")] = (0, 1, 2, 3)
+CODE[list(b"ACGTacgt")] = (0, 1, 2, 3) * 2  # soft-masked bases count as bases
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +67,15 @@ def valid_starts(code: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero((bad[k:] == bad[: n - k + 1]) & (at + k <= room))
 
 
+def packed_valid(code: np.ndarray, offsets: np.ndarray, k: int, canonical: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Valid starts and the packed (or canonical) windows there."""
+    at = valid_starts(code, offsets, k)
+    packed = packed_windows(code, k)[at]
+    if canonical and len(at):
+        packed = np.minimum(packed, packed_windows((3 - (code & 3))[::-1], k)[len(code) - k - at])
+    return at, packed
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     have, out = 1, values
     while 2 * have <= width:

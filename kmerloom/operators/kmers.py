@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrow as A
@@ -21,16 +21,16 @@ def _windows(seq: Column, k: int) -> Column:
 
 
 def occurrences(reads: DataFrame, k: int) -> DataFrame:
-    """read_id, pos (from 0), kmer of each window of k bases without N."""
+    """read_id, pos (from 0), kmer of each window of k bases without N. Lower-case bases are bases."""
     long_enough = reads.where(F.length("seq") >= k)
-    at = long_enough.select("read_id", F.encode("seq", "utf-8").alias("b"), F.explode(_windows(F.col("seq"), k)).alias("p"))
+    at = long_enough.select("read_id", F.encode(F.upper("seq"), "utf-8").alias("b"), F.explode(_windows(F.col("seq"), k)).alias("p"))
     cut = at.select("read_id", (F.col("p") - 1).alias("pos"), F.substr("b", "p", F.lit(k)).cast("string").alias("kmer"))
     return cut.where(F.instr("kmer", "N") == 0)
 
 
 def kmers(reads: DataFrame, k: int) -> DataFrame:
     """One column kmer: reads are split at N first, so no window has to be tested."""
-    runs = reads.select(F.explode(F.split("seq", "N+")).alias("run")).where(F.length("run") >= k)
+    runs = reads.select(F.explode(F.split(F.upper("seq"), "N+")).alias("run")).where(F.length("run") >= k)
     at = runs.select(F.encode("run", "utf-8").alias("b"), F.explode(_windows(F.col("run"), k)).alias("p"))
     return at.select(F.substr("b", "p", F.lit(k)).cast("string").alias("kmer"))
 
@@ -43,13 +43,7 @@ def packed_kmers(reads: DataFrame, k: int, canonical: bool = False, with_place:
     def run(batches):
         for batch in batches:
             for low, high, data, offsets in A.pieces(batch.column(1)):
-                code = A.CODE[data]
-                at = A.valid_starts(code, offsets, k)
-                packed = A.packed_windows(code, k)[at]
-                if canonical:
-                    n = len(code)
-                    flip = A.packed_windows((3 - (code & 3))[::-1], k)[n - k - at] if len(at) else packed
-                    packed = np.minimum(packed, flip)
+                at, packed = A.packed_valid(A.CODE[data], offsets, k, canonical)
                 if with_place:
                     row = np.searchsorted(offsets, at, "right") - 1
                     ids = batch.column(0).slice(low, high - low).take(pa.array(row))
@@ -74,9 +68,42 @@ def letters(frame: DataFrame, k: int, column: str = "packed", name: str = "kmer"
     return frame.select(column, *rest).mapInArrow(run, schema)
 
 
+#: Windows that are counted together before they leave a task.
+CHUNK = 1 << 20
+
+
+def _tallied(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array, and how often each is there."""
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _counts(reads: DataFrame, k: int, canonical: bool) -> DataFrame:
+    """packed, n: counts of bounded chunks of windows; a frequent k-mer leaves a chunk as one row."""
+    importable(reads.sparkSession)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for _, _, data, offsets in A.pieces(batch.column(0)):
+                held.append(A.packed_valid(A.CODE[data], offsets, k, canonical)[1])
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield flush(held)
+                    held, size = [], 0
+        if size:
+            yield flush(held)
+
+    def flush(held):
+        keys, n = _tallied(np.sort(np.concatenate(held)))
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["packed", "n"])
+
+    return reads.select(F.col("seq").cast("string")).mapInArrow(run, "packed long, n long")
+
+
 def count_packed(reads: DataFrame, k: int, canonical: bool = False) -> DataFrame:
-    """packed, cnt: partial counts before the only shuffle, so frequent k-mers don't make hot partitions."""
-    return packed_kmers(reads, k, canonical).groupBy("packed").agg(F.count(F.lit(1)).alias("cnt"))
+    """packed, cnt: windows are counted chunk by chunk where they are read, so frequent k-mers don't make hot partitions; one shuffle."""
+    return _counts(reads, k, canonical).groupBy("packed").agg(F.sum("n").alias("cnt"))
 
 
 def count(reads: DataFrame, k: int, canonical: bool = False) -> DataFrame:
@@ -102,7 +129,7 @@ def totals(counts: DataFrame) -> DataFrame:
 
 def ideal_total(reads: DataFrame, k: int) -> DataFrame:
     """Number of valid windows, from run lengths only."""
-    runs = F.transform(F.split("seq", "N+"), lambda r: F.greatest(F.lit(0), F.length(r) - F.lit(k - 1)))
+    runs = F.transform(F.split("seq", "[Nn]+"), lambda r: F.greatest(F.lit(0), F.length(r) - F.lit(k - 1)))
     return reads.select(F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ideal_total"))
 
 
@@ -110,22 +137,54 @@ def top(counts: DataFrame, n: int = 40, item: str = "kmer") -> DataFrame:
     return counts.orderBy(F.desc("cnt"), F.desc(item)).limit(n)
 
 
-def reliable_occurrences(reads: DataFrame, k: int, low: int, high: int) -> DataFrame:
-    """packed, read_id, pos of the k-mers whose canonical count is in range. Counting comes first, so frequent k-mers never meet in one task."""
-    kept = reliable(count_packed(reads, k, True), low, high).select("packed")
-    return packed_kmers(reads, k, True, True).join(kept, "packed", "left_semi")
+def reliable_places(reads: DataFrame, k: int, low: int, high: int) -> DataFrame:
+    """packed (canonical), cnt and the sorted array of places (read_id, pos) of the k-mers whose count is in range.
+
+    One pass and one exchange: each task passes on at most high + 1 places of a k-mer, so a frequent one meets as few
+    rows as there are tasks, and no list is longer than high + 1.
+    """
+    place = Window.partitionBy("packed").orderBy("read_id", "pos")
+    some = packed_kmers(reads, k, True, True).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= high + 1)
+    lists = some.groupBy("packed").agg(F.count(F.lit(1)).alias("cnt"), F.collect_list(F.struct("read_id", "pos")).alias("places"))
+    return lists.where(F.col("cnt").between(low, high)).withColumn("places", F.sort_array("places"))
 
 
 def occurrence_lists(reads: DataFrame, k: int, low: int, high: int) -> DataFrame:
-    """packed (canonical), cnt, and the k-mer's places as sorted array of (read_id, pos): only reliable k-mers gather lists, so none is longer than ``high``."""
-    found = reliable_occurrences(reads, k, low, high)
-    return found.groupBy("packed").agg(F.count(F.lit(1)).alias("cnt"), F.slice(F.sort_array(F.collect_list(F.struct("read_id", "pos"))), 1, high).alias("places"))
+    """The same as ``reliable_places``: only reliable k-mers have lists, so none is longer than ``high``."""
+    return reliable_places(reads, k, low, high)
+
+
+def packed_extensions(reads: DataFrame, k: int) -> DataFrame:
+    """packed, ext, n: counts (by chunks) of k-mers with the bases beside them; ext is 5 * left + right, in order of A, C, G, T and none; k up to 29."""
+    importable(reads.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for _, _, data, offsets in A.pieces(batch.column(0)):
+                code = A.CODE[data]
+                at, packed = A.packed_valid(code, offsets, k)
+                row = np.searchsorted(offsets, at, "right") - 1
+                left = np.where(at > offsets[row], code[at - 1], 4)
+                right = np.where(at + k < offsets[row + 1], code[np.minimum(at + k, len(code) - 1)], 4)
+                ext = np.minimum(left, 4).astype(np.int64) * 5 + np.minimum(right, 4)
+                key, n = _tallied(np.sort((packed << 5) | ext))
+                yield pa.RecordBatch.from_arrays([pa.array(key >> 5), pa.array((key & 31).astype(np.int8)), pa.array(n.astype(np.int32))], names=["packed", "ext", "n"])
+
+    return reads.select(F.col("seq").cast("string")).mapInArrow(run, "packed long, ext tinyint, n int")
 
 
 def extension_counts(reads: DataFrame, k: int) -> DataFrame:
     """kmer, how often A, C, G, T stand before it (la..lt) and after it (ra..rt), and cnt."""
-    long_enough = reads.where(F.length("seq") >= k)
-    at = long_enough.select(F.encode("seq", "utf-8").alias("b"), F.length("seq").alias("n"), F.explode(_windows(F.col("seq"), k)).alias("p"))
+    if k > 29:
+        return _extension_counts_of_text(reads, k)
+    found = packed_extensions(reads, k).repartition("packed")  # rows are counts already
+    side = {"l": F.floor(F.col("ext") / 5), "r": F.col("ext") % 5}
+    sums = [F.sum(F.when(side[s] == i, F.col("n")).otherwise(0)).alias(s + b.lower()) for s in "lr" for i, b in enumerate("ACGT")]
+    return letters(found.groupBy("packed").agg(*sums, F.sum("n").alias("cnt")), k)
+
+
+def _extension_counts_of_text(reads: DataFrame, k: int) -> DataFrame:
+    at = reads.where(F.length("seq") >= k).select(F.encode(F.upper("seq"), "utf-8").alias("b"), F.length("seq").alias("n"), F.explode(_windows(F.col("seq"), k)).alias("p"))
     one = lambda p: F.substr("b", p, F.lit(1)).cast("string")
     cut = at.select(F.substr("b", "p", F.lit(k)).cast("string").alias("kmer"), F.when(F.col("p") > 1, one(F.col("p") - 1)).alias("l"), F.when(F.col("p") + k <= F.col("n"), one(F.col("p") + k)).alias("r"))
     sums = [F.count(F.when(F.col(s) == b, 1)).alias(s + b.lower()) for s in "lr" for b in "ACGT"]

@@ -87,35 +87,46 @@ def expand(bases: DataFrame, k: int) -> DataFrame:
     return bases.select("minimizer", "bases").mapInArrow(run, "minimizer long, packed long")
 
 
-def count(reads: DataFrame, k: int, m: int) -> DataFrame:
-    """packed, cnt by way of supermers: they are shuffled by minimizer (fewer bytes than k-mers), and counted where they land, as a k-mer's minimizer is a function of the k-mer."""
-    dealt = supermers(reads, k, m, with_bases=True).repartition("minimizer")
-    return _counted(dealt, k)
-
-
-def _counted(dealt: DataFrame, k: int) -> DataFrame:
-    """Counts inside the partitions that supermers were dealt to: no second shuffle. Each flush is one sorted run of bounded size; runs of a partition are merged as they come."""
+def packed_supermers(reads: DataFrame, k: int, m: int) -> DataFrame:
+    """minimizer, bits (2 a base, right-aligned, 32 bases at most), slen, n: supermers in 8 bytes, equal ones of a piece counted together."""
+    importable(reads.sparkSession)
+    width = 32 - k
 
     def run(batches):
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held: list[np.ndarray] = []
-
-        def merged():
-            fresh, n = np.unique(np.concatenate(held), return_counts=True)
-            both = np.concatenate((keys, fresh))
-            out, where = np.unique(both, return_inverse=True)
-            return out, np.bincount(where, np.concatenate((counts, n)), len(out)).astype(np.int64)
-
         for batch in batches:
             for _, _, data, offsets in A.pieces(batch.column(0)):
                 code = A.CODE[data]
-                held.append(A.packed_windows(code, k)[A.valid_starts(code, offsets, k)])
-            if sum(map(len, held)) > 1 << 22:
-                keys, counts = merged()
-                held = []
-        if held:
-            keys, counts = merged()
-        for low in range(0, len(keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[low : low + (1 << 16)]), pa.array(counts[low : low + (1 << 16)])], names=["packed", "cnt"])
-
-    return dealt.select("bases").mapInArrow(run, "packed long, cnt long")
+                at = A.valid_starts(code, offsets, k)
+                if not len(at):
+                    continue
+                row = np.searchsorted(offsets, at, "right") - 1
+                pos = at - offsets[row]
+                least = _minimizers(code, k, m, False, False)[at]
+                fresh = np.ones(len(at), bool)
+                fresh[1:] = (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1) | (pos[1:] // width != pos[:-1] // width) | (least[1:] != least[:-1])
+                first = np.flatnonzero(fresh)
+                more = np.diff(np.append(first, len(at))) - 1  # bases beyond the first k-mer
+                bits = A.packed_windows(code, k)[at[first]].view(np.uint64)
+                for j in range(int(more.max()) + 1):
+                    own = more > j
+                    bits[own] = (bits[own] << np.uint64(2)) | code[at[first[own]] + k + j]
+                order = np.lexsort((more, bits))
+                bits, more, low = bits[order], more[order], least[first][order]
+                head = np.flatnonzero(np.concatenate(([True], (bits[1:] != bits[:-1]) | (more[1:] != more[:-1]))))
+                n = np.diff(np.append(head, len(bits)))
+                yield pa.RecordBatch.from_arrays([pa.array(low[head].astype(np.int64)), pa.array(bits[head].view(np.int64)), pa.array((more[head] + k).astype(np.int32)), pa.array(n)], names=["minimizer", "bits", "slen", "n"])
+
+    return reads.select(F.col("seq").cast("string")).mapInArrow(run, "minimizer long, bits long, slen int, n long")
+
+
+def count(reads: DataFrame, k: int, m: int) -> DataFrame:
+    """packed, cnt by way of supermers: they are shuffled by minimizer, in fewer bytes than k-mers, cut into k-mers by expressions, and counted where they land.
+
+    A k-mer's minimizer is a function of the k-mer, so grouping by both needs no second exchange, and Spark's own
+    aggregation spills where a partition holds many k-mers.
+    """
+    dealt = packed_supermers(reads, k, m).repartition("minimizer")
+    mask = F.lit((1 << 2 * k) - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.col("slen") - k), lambda i: F.call_function("shiftrightunsigned", F.col("bits"), i * 2).bitwiseAND(mask))
+    each = dealt.select("minimizer", "n", F.explode(cut).alias("packed"))
+    return each.groupBy("minimizer", "packed").agg(F.sum("n").alias("cnt")).select("packed", "cnt")

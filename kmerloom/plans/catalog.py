@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, hashes
 from ..operators import align, kmers, overlap, sketches, supermers, tables, variants
-from ..sources import runlog
+from .session import dealt, scratch
+from ..sources import fastq, runlog, synthetic
 
 K, M, LOW, HIGH, DMIN, PARTS = 17, 7, 2, 8, 2, 16
 
@@ -22,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("read_id"), dna.text_to_dna(F.col("text")).alias("seq"))
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select((F.col("doc_id") + 1).alias("read_id"), dna.text_to_dna(F.col("text")).alias("seq"))
 
 
 def _count(r: DataFrame) -> DataFrame:
@@ -99,14 +100,25 @@ def heavy_hitter_anti(r: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(heavy.select("packed")), "packed", "left_anti")  # 40 rows
 
 
-def heavy_hitter_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that a Misra-Gries sketch of 64 counters must hold (over N / 64 rows) and doesn't: none."""
-    events = table(spark, sf_dir, "events").select(F.length("event_type").cast("long").alias("item"))
-    sketch = sketches.misra_gries(events, "item", 64)
-    exact = events.groupBy("item").agg(F.count(F.lit(1)).alias("cnt"))
+def heavy_hitter_recall(r: DataFrame) -> DataFrame:
+    """6-mers (up to 4096 kinds) that a Misra-Gries sketch of 256 counters must hold (over N / 256 of the rows), and how many of them it holds: all."""
+    packed = kmers.packed_kmers(r, 6)
+    sketch = sketches.misra_gries(packed, "packed", 256).withColumnRenamed("item", "packed")
+    exact = kmers.count_packed(r, 6)
     total = exact.agg(F.sum("cnt").alias("total"))
-    must = exact.crossJoin(F.broadcast(total)).where(F.col("cnt") * 64 > F.col("total"))  # one row on the right
-    return must.join(sketch, "item", "left").agg(F.count(F.lit(1)).alias("heavy"), F.count("estimate").alias("found"))
+    must = exact.join(F.broadcast(total), F.col("cnt") * 256 > F.col("total"))  # one row on the right
+    return must.join(sketch, "packed", "left").agg(F.count(F.lit(1)).alias("heavy"), F.count("estimate").alias("found"))
+
+
+def top100_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the exact top 100 of the mixture stream (as many numbers as the lines table has rows, from each part) by two sketches."""
+    n = table(spark, sf_dir, "lineitem").count()
+    stream = synthetic.mixture(spark, n)
+    best = kmers.top(stream.groupBy("value").agg(F.count(F.lit(1)).alias("cnt")), 100, "value").select("value")
+    ours = sketches.misra_gries(stream, "value", 10_000).select(F.col("item").alias("value"), F.lit(1).alias("ours"))
+    own = sketches.built_in_top(stream, "value", 100).select(F.col("item").alias("value"), F.lit(1).alias("own"))
+    both = best.join(F.broadcast(ours), "value", "left").join(F.broadcast(own), "value", "left")  # at most 10,000 rows
+    return both.agg(F.count(F.lit(1)).alias("top"), F.count("ours").alias("misra_gries"), F.count("own").alias("built_in"))
 
 
 def hll_vs_exact(r: DataFrame) -> DataFrame:
@@ -125,11 +137,51 @@ def bloom_semi(r: DataFrame) -> DataFrame:
 
 
 def size_estimate(r: DataFrame) -> DataFrame:
-    """Reads and bases by the size formula, with all reads as the sample and twice their bytes as the file's size."""
+    """Reads and bases of a file of twice the reads' bytes, with all reads as the sample."""
     rows = r.select(F.concat(F.lit("@"), F.col("read_id").cast("string")).alias("id"), "seq")
-    record = F.length("id") + 2 * F.length("seq") + 5
-    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(record).alias("b"), F.sum(F.length("seq")).alias("s"))
-    return sums.select(F.expr("(2 * b * n + b - 1) div b").alias("reads"), F.expr("(2 * b * s + b - 1) div b").alias("bases"))
+    total = rows.agg(F.sum(F.length("id") + 2 * F.length("seq") + 5)).first()[0]
+    return fastq.estimate(rows, 2 * (total or 0), None)
+
+
+def _records(r: DataFrame) -> DataFrame:
+    """FASTQ records of the reads that have letters."""
+    return r.where("seq <> ''").select(F.concat(F.lit("@r"), F.col("read_id").cast("string")).alias("id"), "seq", F.regexp_replace("seq", ".", "I").alias("qual"))
+
+
+def fastq_round_trip(r: DataFrame) -> DataFrame:
+    path = scratch(r.sparkSession, "fastq")
+    fastq.write_fastq(_records(r), path)
+    return fastq.read_fastq(r.sparkSession, path)
+
+
+def fasta_round_trip(r: DataFrame) -> DataFrame:
+    path = scratch(r.sparkSession, "fasta")
+    fastq.write_fasta(_records(r), path)
+    return fastq.read_fasta(r.sparkSession, path)
+
+
+def numbered_reads(r: DataFrame) -> DataFrame:
+    return fastq.numbered(_records(r)).select("read_id", "id")
+
+
+def count_text_round_trip(r: DataFrame) -> DataFrame:
+    path = scratch(r.sparkSession, "counts")
+    fastq.write_counts(kmers.count(r, K), path, 4)
+    parts = F.split("value", "\t\t")
+    return r.sparkSession.read.text(path).select(parts[0].alias("kmer"), parts[1].cast("long").alias("cnt"))
+
+
+def ufx_text_round_trip(r: DataFrame) -> DataFrame:
+    path = scratch(r.sparkSession, "ufx")
+    fastq.write_extensions(ufx_codes(r), path)
+    parts = F.split("value", "\t")
+    return r.sparkSession.read.text(path).select(parts[0].alias("kmer"), parts[1].alias("extended"))
+
+
+def table_round_trip(r: DataFrame) -> DataFrame:
+    path = scratch(r.sparkSession, "table")
+    fastq.write_table(_count(r), path)
+    return fastq.read_table(r.sparkSession, path)
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +200,7 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of neighbouring items' texts. Letters beyond ASCII are left out on both sides: the SQL counts bytes."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
     after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next_text"))
     d = align.edit_distance(F.col("text"), F.col("next_text"))
@@ -155,7 +208,7 @@ def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Infix and prefix distances of a part of each benchmark item to the whole item."""
+    """Infix and prefix distances of 30 letters of each benchmark item (the query is a part by the modes' nature) to the whole item."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 11, 30).alias("q"), "text")
     infix, prefix = align.semiglobal_udf("infix")("q", "text"), align.semiglobal_udf("prefix")("q", "text")
     return items.select("item_id", infix.alias("i"), prefix.alias("p")).select("item_id", F.col("i.distance").alias("infix"), F.col("i.start").alias("start"), F.col("i.end").alias("end"), F.col("p.distance").alias("prefix"))
@@ -174,7 +227,8 @@ def iupac_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pattern_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), F.substring(dna.text_to_dna(F.col("text")), 21, 30).alias("pattern"))
+    """Where the reads hold a benchmark item's text as a whole."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), dna.text_to_dna(F.col("text")).alias("pattern"))
     return align.find_patterns(reads(spark, sf_dir), items, 20)
 
 
@@ -191,7 +245,8 @@ def six_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("a"), F.substring("text", 2, 60).alias("b"))
+    """Letters of each whole text that differ from the next letter: the text without its last one against the text without its first one."""
+    items = table(spark, sf_dir, "benchmark").where(F.length("text") > 0).select("item_id", F.expr("left(text, length(text) - 1)").alias("a"), F.expr("substring(text, 2)").alias("b"))
     return items.select("item_id", align.hamming(F.col("a"), F.col("b")).cast("long").alias("distance"))
 
 
@@ -254,6 +309,8 @@ def of_reads(function: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
     return lambda spark, sf_dir: function(reads(spark, sf_dir))
 
 
+MIXES = (("jenkins_32", hashes.JENKINS_32, 32), ("jenkins_64", hashes.JENKINS_64, 64), ("wang_32", hashes.WANG_32, 32))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmer_count": of_reads(lambda r: kmers.letters(_count(r), K)),
     "kmer_count_packed": of_reads(_count),
@@ -281,7 +338,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snp_trio": of_reads(snp_trio),
     "heavy_hitter_exact": heavy_hitter_exact,
     "heavy_hitter_anti": of_reads(heavy_hitter_anti),
-    "heavy_hitter_recall": heavy_hitter_recall,
+    "heavy_hitter_recall": of_reads(heavy_hitter_recall),
+    "top100_recall": top100_recall,
     "hll_vs_exact": of_reads(hll_vs_exact),
     "bloom_semi": of_reads(bloom_semi),
     "count_gt_threshold": of_reads(lambda r: kmers.letters(_count(r).where("cnt > 4"), K)),
@@ -290,6 +348,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ambiguous_fraction": of_reads(lambda r: r.agg((F.sum(F.length("seq") - F.length(F.replace("seq", F.lit("N"), F.lit("")))) / F.sum(F.length("seq"))).alias("fraction"))),
     "length_stats": of_reads(lambda r: r.agg(F.max(F.length("seq")).cast("long").alias("longest"), F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).alias("bases"))),
     "size_estimate": of_reads(size_estimate),
+    "fastq_round_trip": of_reads(fastq_round_trip),
+    "fasta_round_trip": of_reads(fasta_round_trip),
+    "numbered_reads": of_reads(numbered_reads),
+    "count_text_round_trip": of_reads(count_text_round_trip),
+    "ufx_text_round_trip": of_reads(ufx_text_round_trip),
+    "table_round_trip": of_reads(table_round_trip),
+    "integer_mixes": lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", *(hashes.mix_udf(s, b)("p_partkey").alias(n) for n, s, b in MIXES)),
     "header_parse": headers,
     "fold_sequence": of_reads(lambda r: r.select("read_id", dna.fold(F.col("seq")).alias("folded"))),
     "edit_distance": edit_distance,
@@ -314,7 +379,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "markov_model": of_reads(lambda r: tables.markov(kmers.count(r, 6), 6)),
     "neighbours_present": of_reads(lambda r: tables.neighbours_present(kmers.letters(kmers.reliable(_count(r), LOW, HIGH).select("packed"), K))),
     "supermer_expand_rows": of_reads(lambda r: supermers.expand(supermers.supermers(r, K, M, with_bases=True), K).groupBy("packed").agg(F.count(F.lit(1)).alias("cnt"))),
-    "range_owner": of_reads(lambda r: tables.packed_owner(_count(r), PARTS)),
+    "range_owner": of_reads(lambda r: tables.range_owners(_count(r), PARTS)),
 }
 
 _READS = "select doc_id + 1 as read_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTANCGTACGNTACGTANCN') as seq from documents"
@@ -354,6 +419,19 @@ _CODE = lambda s: f"case when {_NTH(s, 2)} >= {DMIN} then 'F' when {_NTH(s, 1)}
 _TRIO = lambda i, name: f"""{_kmers(11, f'select * from ({_READS}) q where read_id % 3 = {i}', f'k{name}')}, {name} as (select kmer, sum(cnt)::bigint as cnt from
   (select kmer, count(*) as cnt from k{name} group by kmer union all select reverse(translate(kmer, 'ACGT', 'TGCA')), count(*) from k{name} group by kmer) t group by kmer)"""
 
+
+
+def _mix_sql(name: str, steps, bits: int) -> str:
+    """Common table of an integer mix of the part keys, in unsigned 128-bit numbers modulo 2^bits."""
+    out, most = "select p_partkey, p_partkey::uhugeint as x from part", 2**bits
+    for how, shift in steps:
+        shifted = f"x * {2**shift} % {most}"
+        step = f"xor(x, x >> {shift})" if how == "^" else f"(x + {shifted}) % {most}" if how == "+" else f"(x + ({most - 1} - {shifted})) % {most}"
+        out = f"select p_partkey, {step} as x from ({out})"
+    signed = f"case when x >= {2**63} then (x::hugeint - {2**64})::bigint else x::bigint end" if bits == 64 else "x::bigint"
+    return f"{name} as (select p_partkey, {signed} as {name} from ({out}))"
+
+
 _ITEMS = _READS.replace("doc_id + 1", "item_id").replace("documents", "benchmark")
 
 ORACLE: dict[str, str] = {
@@ -384,13 +462,14 @@ select doc_id + 1 as read_id, owner from documents join b on high - n < doc_id +
     "ext_counts": f"with {_EXTENDED} {_EXT}",
     "ufx_codes": f"""with {_EXTENDED}, x as ({_EXT}) select kmer, cnt, {_BASE('l')} || '[' || {_NTH('l', 2)} || ',' || {_NTH('l', 1)} || ']' || {_BASE('r')} || '[' || {_NTH('r', 2)} || ',' || {_NTH('r', 1)} || ']' as extended,
 ({_CODE('l')}) || ({_CODE('r')}) as code from x""",
+    "ufx_text_round_trip": f"""with {_EXTENDED}, x as ({_EXT}) select kmer, {_BASE('l')} || '[' || {_NTH('l', 2)} || ',' || {_NTH('l', 1)} || ']' || {_BASE('r')} || '[' || {_NTH('r', 2)} || ',' || {_NTH('r', 1)} || ']' as extended from x""",
     "snp_trio": f"""with {_TRIO(0, 'os')}, {_TRIO(1, 'pa')}, {_TRIO(2, 'pb')}, two as (select left(kmer, 10) as prefix, min(kmer) as a, max(kmer) as b from os group by 1 having count(*) = 2 and min(cnt) >= 1 and max(cnt) <= 50),
 side as (select prefix, a as x, b as y from two union all select prefix, b, a from two)
 select prefix, right(x, 1) as base_x, pa.cnt as p1cnt, ox.cnt as oscnt_x, right(y, 1) as base_y, pb.cnt as p2cnt, oy.cnt as oscnt_y from side join os ox on ox.kmer = x join os oy on oy.kmer = y join pa on pa.kmer = x join pb on pb.kmer = y
 where y not in (select kmer from pa) and x not in (select kmer from pb)""",
     "heavy_hitter_exact": "select l_partkey as item, count(*) as cnt from lineitem group by 1 order by cnt desc, item desc limit 100",
-    "heavy_hitter_anti": f"with {_kmers()}, c as ({_COUNT}), h as (select kmer from c order by cnt desc, kmer desc limit 40) select {_PACKED} as packed, cnt from c where kmer not in (select kmer from h)",
-    "heavy_hitter_recall": "with c as (select length(event_type) as item, count(*) as cnt from events group by 1) select count(*) as heavy, count(*) as found from c where cnt * 64 > (select sum(cnt) from c)",
+    "heavy_hitter_anti": f"with {_kmers()}, c as ({_COUNT}), h as (select kmer from c order by cnt desc, kmer desc limit 40) select {_PACKED} as packed, cnt from c anti join h using (kmer)",
+    "heavy_hitter_recall": f"with {_kmers(6)}, c as ({_COUNT}) select count(*) as heavy, count(*) as found from c where cnt * 256 > (select sum(cnt) from c)",
     "hll_vs_exact": f"with {_kmers()} select count(distinct kmer) as distinct_kmers, true as within from kmers",
     "bloom_semi": f"with {_kmers()}, c as (select {_REP} as kmer, count(*) as cnt from kmers group by 1 having count(*) >= 2) select {_PACKED} as packed, cnt from c",
     "count_gt_threshold": f"with {_kmers()} {_COUNT} having count(*) > 4",
@@ -410,10 +489,14 @@ select sum(x * y)::bigint as d2 from a join b using (kmer)""",
     "iupac_mask": """with r as (select item_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDGHKMNRSTUVWYACGTACGTAC') as seq from benchmark)
 select item_id, translate(seq, 'RYKMSWBDHV', 'NNNNNNNNNN') as masked, length(regexp_replace(seq, '[^RYKMSWBDHV]', '', 'g')) as n from r""",
     "twin_union": f"with {_kmers(11)}, c as ({_COUNT}) select kmer, sum(cnt)::bigint as cnt from (select * from c union all select reverse(translate(kmer, 'ACGT', 'TGCA')), cnt from c) t group by kmer",
-    "pattern_search": f"""with r as ({_READS}), p as (select item_id as pattern_id, substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTANCGTACGNTACGTANCN'), 21, 30) as pattern from benchmark),
+    "pattern_search": f"""with r as ({_READS}), p as (select item_id as pattern_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTANCGTACGNTACGTANCN') as pattern from benchmark),
 a as (select read_id, unnest(range(0, length(seq) - 19)) as pos, seq from r where length(seq) >= 20), q as (select *, left(pattern, 20) as k from p where length(pattern) >= 20)
 select read_id, pattern_id, pos from a join q on substr(seq, pos + 1, 20) = k where substr(seq, pos + 1, length(pattern)) = pattern""",
-    "hamming": "select item_id, list_sum(list_transform(range(1, 61), lambda i: (substr(text, i, 1) <> substr(text, i + 1, 1))::int))::bigint as distance from benchmark where length(text) > 60",
+    "hamming": "select item_id, coalesce(list_sum(list_transform(range(1, length(text)), lambda i: (substr(text, i, 1) <> substr(text, i + 1, 1))::int)), 0)::bigint as distance from benchmark where length(text) > 0",
+    "six_frames": f"""with r as (select item_id, seq, reverse(translate(seq, 'ACGT', 'TGCA')) as rc from ({_ITEMS.replace('as read_id', 'as item_id')}) q),
+f as (select item_id, [seq, seq[2:], seq[3:], rc, rc[2:], rc[3:]] as s from r)
+select item_id, array_to_string(list_transform(s, lambda x: array_to_string(list_transform(range(1, length(x) - 1, 3), lambda i: case when regexp_full_match(x[i:i + 2], '[ACGT]{{3}}')
+  then substr('{dna.CODONS}', (strpos('ACGT', x[i]) - 1) * 16 + (strpos('ACGT', x[i + 1]) - 1) * 4 + strpos('ACGT', x[i + 2]), 1) else 'X' end), '')), '|') as frames from f""",
     "log_fields": "select p_partkey, '17' as Val_k, '2' as Val_reliable_min, '7' as Val_reliable_max, p_partkey::varchar as Num_total_mpi_tasks, '7.' || p_partkey as Time_count, p_partkey::varchar as Num_retained from part",
     "table_lookup": f"with {_kmers()}, c as ({_COUNT}), {_kmers(K, _ITEMS, 'items')}, k as (select distinct kmer from items) select {_PACKED} as packed, coalesce(cnt, 0) as cnt from k left join c using (kmer)",
     "table_delete": f"with {_kmers()}, c as ({_COUNT}), {_kmers(K, _ITEMS, 'items')} select {_PACKED} as packed, cnt from c where kmer not in (select kmer from items)",
@@ -429,6 +512,13 @@ select id_a, count(*) as n from s join o on o.lo < s.hi and s.lo < o.lo + 3 grou
 l as (select kmer, case when i < 4 then substr(kmer, 2) || substr('ACGT', (i + 1)::int, 1) else substr('ACGT', (i - 3)::int, 1) || left(kmer, {K - 1}) end as link from i)
 select l.kmer, count(*) as n from l join g on g.kmer = l.link group by 1""",
     "supermer_expand_rows": f"with {_kmers()}, c as ({_COUNT}) select {_PACKED} as packed, cnt from c",
-    "range_owner": f"with {_kmers()}, c as ({_COUNT}) select {_PACKED} % {PARTS} as owner, count(*) as n from c group by 1",
+    "range_owner": f"""with {_kmers()}, c as ({_COUNT}), p as (select {_PACKED}::uhugeint as x from c), a as (select xor(x, x >> 33) * 18397679294719823053 % {2**64} as x from p),
+b as (select xor(x, x >> 33) * 14181476777654086739 % {2**64} as x from a), d as (select xor(x, x >> 33) as x from b) select (x * {PARTS} // {2**64})::bigint as owner, count(*) as n from d group by 1""",
+    "fastq_round_trip": f"with r as ({_READS}) select '@r' || read_id as id, seq, repeat('I', length(seq)) as qual from r where seq <> ''",
+    "fasta_round_trip": f"with r as ({_READS}) select 'r' || read_id as id, seq from r where seq <> ''",
+    "numbered_reads": f"with r as ({_READS}) select row_number() over (order by '@r' || read_id) as read_id, '@r' || read_id as id from r where seq <> ''",
+    "count_text_round_trip": f"with {_kmers()} {_COUNT} having count(*) > 4",
+    "table_round_trip": f"with {_kmers()}, c as ({_COUNT}) select {_PACKED} as packed, cnt from c",
+    "integer_mixes": "with " + ", ".join(_mix_sql(n, steps, bits) for n, steps, bits in MIXES) + " select * from jenkins_32 join jenkins_64 using (p_partkey) join wang_32 using (p_partkey)",
     "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by 1, 2",
 }

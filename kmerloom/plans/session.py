@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -36,13 +37,15 @@ def session(name: str = "kmerloom", cpus: str = "*", **conf: str) -> SparkSessio
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only where none is set (tests, local runs), a local one."""
+    """The shared folder of the cluster; a local one only where none is set and the master is local (tests, local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         kept = context._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
         if not found:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = tempfile.mkdtemp(prefix="checkpoints-")
             context.setCheckpointDir(found)
     return found
@@ -51,15 +54,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, known to ``release``."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def saved(frame: DataFrame, name: str) -> DataFrame:
     """The frame, written to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = frame.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     frame.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def dealt(frame: DataFrame, least: int = 32 << 20) -> DataFrame:
+    """The rows of a scan of under ``least`` bytes a core, dealt over the cores: a small file of one row group would be read by one task. Larger scans stay as they are, without a shuffle."""
+    spark = frame.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return frame.repartition(cores) if size < least * cores else frame
+
+
 def mark() -> int:
     """A place in the list of tables written so far, for ``release``."""
     return len(_written)

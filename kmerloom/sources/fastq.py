@@ -9,11 +9,12 @@ from __future__ import annotations
 import gzip
 import io
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..plans.session import importable
+from ..plans.session import importable, saved
 
 SCHEMA = "id string, seq string, qual string"
 SPLIT = 32 << 20
@@ -27,6 +28,17 @@ def _opened(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def _files(path: str) -> list[str]:
+    """The path itself, or the files of the folder that it names (but for hidden ones)."""
+    from pyarrow import fs
+
+    system, inner = _opened(path)
+    if system.get_file_info(inner).type != fs.FileType.Directory:
+        return [path]
+    found = system.get_file_info(fs.FileSelector(inner))
+    return [f"{path.rstrip('/')}/{x.base_name}" for x in sorted(found, key=lambda x: x.path) if x.is_file and x.base_name[0] not in "._"]
+
+
 class Range(InputPartition):
     def __init__(self, path: str, start: int, end: int):
         self.path, self.start, self.end = path, start, end
@@ -50,12 +62,26 @@ def resync(stream, start: int, end: int) -> int | None:
     return None
 
 
-def records(stream, path: str, end: int | None, mode: str):
-    """(id, seq, qual) of the records that begin before ``end``; an empty line ends the file."""
-    while end is None or stream.tell() < end:
+def _mate(head: bytes) -> tuple[bytes, bytes]:
+    """Name without its ending, and 1 or 2, of a header like ``@x/1`` or ``@x 1:N:0:``; the end is empty without a pair."""
+    name, _, rest = head.partition(b" ")
+    if name[-2:] in (b"/1", b"/2"):
+        return name[:-2], name[-1:]
+    return name, rest[:1] if rest[1:2] == b":" and rest[:1] in (b"1", b"2") else b""
+
+
+def records(stream, path: str, end: int | None, mode: str, first: bool = True):
+    """(id, seq, qual) of the records that begin before ``end``; an empty line ends the file.
+
+    Neighbouring mates of an interleaved file stay in one range: the second one goes with the first, wherever it begins.
+    A range that isn't the file's ``first`` leaves a second mate at its start to the range before.
+    """
+    before, leading = (b"", b""), not first
+    while True:
         at = stream.tell()
+        late = end is not None and at >= end
         head = stream.readline().rstrip(b"\r\n")
-        if not head:
+        if not head or late and (before[1] != b"1" or _mate(head) != (before[0], b"2")):
             return
         seq, plus, qual = (stream.readline().rstrip(b"\r\n") for _ in range(3))
         if head[:1] != b"@" or plus[:1] != b"+" or len(seq) != len(qual):
@@ -65,7 +91,21 @@ def records(stream, path: str, end: int | None, mode: str):
                 return
             stream.seek(again)
             continue
-        yield head.split(None, 1)[0].decode(), seq.decode(), qual.decode()
+        before, skip, leading = _mate(head), leading and _mate(head)[1] == b"2", False
+        if not skip:
+            yield head.split(None, 1)[0].decode(), seq.decode(), qual.decode()
+
+
+def batches(rows, size: int = 4096):
+    """Arrow batches of the records."""
+    names, held = ["id", "seq", "qual"], []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held)], names=names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held)], names=names)
 
 
 class FastqReader(DataSourceReader):
@@ -76,7 +116,7 @@ class FastqReader(DataSourceReader):
 
     def partitions(self):
         out = []
-        for path in self.paths:
+        for path in [p for given in self.paths for p in _files(given)]:
             system, inner = _opened(path)
             size = system.get_file_info(inner).size
             if size is None:
@@ -91,13 +131,13 @@ class FastqReader(DataSourceReader):
         system, inner = _opened(partition.path)
         with system.open_input_file(inner) as raw:
             if partition.path.endswith(".gz"):
-                yield from records(gzip.GzipFile(fileobj=raw), partition.path, None, self.mode)
+                yield from batches(records(gzip.GzipFile(fileobj=raw), partition.path, None, self.mode))
                 return
             stream = io.BufferedReader(raw, 1 << 20)
             start = resync(stream, partition.start, partition.end)
             if start is not None:
                 stream.seek(start)
-                yield from records(stream, partition.path, partition.end, self.mode)
+                yield from batches(records(stream, partition.path, partition.end, self.mode, start == 0))
 
 
 class Fastq(DataSource):
@@ -133,10 +173,14 @@ def read_fofn(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 
 def numbered(reads: DataFrame) -> DataFrame:
-    """Dense read ids from 1 in order of id: counts per range partition, then prefix sums over partitions; no global sort in one task."""
+    """Dense read ids from 1 in order of id: counts per range partition, then prefix sums over partitions; no global sort in one task.
+
+    The places of the rows are a written table: a task that runs again reads the same ones.
+    """
     spark = reads.sparkSession
     ordered = reads.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortWithinPartitions("id", "seq")
-    placed = ordered.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")).persist()
+    placed = ordered.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
+    placed = saved(placed, "numbered")
     sizes = sorted((r["_p"], r["n"], r["first"]) for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("first")).collect())
     rows, total = [], 0
     for p, n, first in sizes:
@@ -146,12 +190,12 @@ def numbered(reads: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(shift), "_p").select((F.col("_m") + F.col("_shift") + 1).alias("read_id"), *reads.columns)
 
 
-def estimate(reads: DataFrame, size: int, sample: int = 1000) -> DataFrame:
-    """reads and bases of a file of ``size`` bytes, from its first records: ceil(size * n / bytes read)."""
-    head = reads.limit(sample)
+def estimate(reads: DataFrame, size: int, sample: int | None = 1000) -> DataFrame:
+    """reads and bases of a file of ``size`` bytes, from its first records (all, without ``sample``): ceil(size * n / bytes read)."""
+    head = reads.limit(sample) if sample else reads
     record = F.length("id") + 2 * F.length("seq") + 5
     sums = head.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes" if "bytes" in reads.columns else record).alias("b"), F.sum(F.length("seq")).alias("s"))
-    whole = lambda c: F.coalesce(F.ceil(F.lit(float(size)) * F.col(c) / F.col("b")), F.lit(0)).cast("long")
+    whole = lambda c: F.coalesce(F.expr(f"(cast({size} as decimal(20, 0)) * {c} + b - 1) div b"), F.lit(0)).cast("long")
     return sums.select(whole("n").alias("reads"), whole("s").alias("bases"))
 
 

@@ -184,6 +184,49 @@ def test_fastq(spark, tmp_path, split):
     assert fastq.read_fasta(spark, str(tmp_path / "fasta")).count() == 5
 
 
+@pytest.mark.parametrize("split", [40, 97, 4096])
+def test_interleaved_pairs_stay_together(spark, tmp_path, split):
+    """Mates are in one task, whatever the byte ranges, in both header forms."""
+    text = "".join(f"@r{i}/{m}\n{'ACGT' * (i % 4 + 1)}\n+\n{'@III' * (i % 4 + 1)}\n" for i in range(30) for m in (1, 2))
+    text += "".join(f"@s{i} {m}:N:0:AC\nACGTA\n+\nIIIII\n" for i in range(30) for m in (1, 2)) + "@alone\nAC\n+\nII\n"
+    (tmp_path / "p.fastq").write_text(text)
+    got = fastq.read_fastq(spark, str(tmp_path / "p.fastq"), splitBytes=str(split)).select("id", "seq", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r.id for r in got) == sorted(x.split()[0] for x in text.split("\n") if x[:1] == "@" and not set(x) <= set("@I"))
+    place = {}
+    for r in got:
+        place.setdefault(r.id.split("/")[0], set()).add(r.p)
+    assert all(len(p) == 1 for p in place.values())
+    assert split > 1000 or len({r.p for r in got}) > 3
+
+
+def test_soft_masked_bases(spark):
+    text = "ACGTTGCAACGTNACGTTGCAAGGT"
+    mixed = "".join(c.lower() if i % 3 else c for i, c in enumerate(text))
+    one, two = (spark.createDataFrame([(1, t)], "read_id long, seq string") for t in (text, mixed))
+    for f in (lambda r: kmers.count(r, 5), lambda r: kmers.count(r, 5, True), lambda r: kmers.occurrences(r, 5), lambda r: kmers.kmers(r, 5), lambda r: kmers.extension_counts(r, 5), lambda r: kmers.ideal_total(r, 5), lambda r: supermers.count(r, 7, 3), lambda r: kmers.count(r, 11)):
+        assert sorted(f(one).collect()) == sorted(f(two).collect()) and f(two).count()
+
+
+def test_long_extensions_agree(spark):
+    r = spark.createDataFrame([(1, "ACGTTGCAACGTACGTTGCAAGGTACGTTGCAACGT"), (2, "TTACGTTGCAACGTACGTTGCAAGGTACGTTGCAACGTA")], "read_id long, seq string")
+    assert sorted(kmers.extension_counts(r, 29).collect()) == sorted(kmers._extension_counts_of_text(r, 29).collect())
+    assert kmers.extension_counts(r, 33).count() > 0
+
+
+def test_shared_folder_is_asked_for(monkeypatch):
+    from types import SimpleNamespace
+
+    none = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", _jsc=none))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(cluster)
+
+
+def test_top100_recall(spark):
+    top, ours, own = catalog.top100_recall(spark, "/root/testdata/sf0.001").first()
+    assert top == 100 and ours == 100 and own >= 70  # many values tie at the hundredth count
+
+
 def test_fastq_errors(spark, tmp_path):
     path = tmp_path / "bad.fastq"
     path.write_text("@a\nACGT\n+\nIIII\n@b\nACG\n+\nII\n@c\nAC\n+\nII\n")
