@@ -61,6 +61,7 @@ def corpus(seed, n=260):
 @pytest.mark.parametrize("percent", [85, 80])
 def test_components(spark, percent, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 5)  # small blocks, so that buckets fall into several cells
+    monkeypatch.setattr(near_dup, "SPARSE", 0 if percent == 80 else 0.5)  # so that cells leave rows, and some of them pairs
     docs = corpus(percent)
     rows = [(d, t, "clash", 1) for d, t in docs] + [(None, "no id at all here", "c", 2), (10**12, None, "c", 3)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, component_id string, kept int").repartition(4)
@@ -77,6 +78,32 @@ def test_components(spark, percent, monkeypatch):
     assert kept.columns == frame.columns and kept.count() == sum(r.kept for r in got)
 
 
+def test_rows_that_share_an_id(spark):
+    """Each text is judged in its id's name, one row each; no text goes that no other kept document has."""
+    docs = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "x y z u v w"), (7, "x y z u v w"), (7, "x y z u v w"), (9, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(near_dup.near_duplicates(frame).collect())
+    assert [(r.doc_id, r.component_id) for r in got] == [(1, 1), (5, 1), (5, 5), (7, 5), (7, 5), (9, 9)]
+    assert sorted(r.doc_id for r in near_dup.drop_duplicates(frame).collect()) == [1, 5, 5, 9]
+
+
+def test_large_groups_go_by_few_rows(spark):
+    """One group of near copies, one of exact ones and a band's task that gets a row a chunk only."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    docs = []
+    for i in range(400):
+        words = list(base)
+        words[rng.randrange(300)] = f"x{i}"
+        docs.append((i, " ".join(words if i % 2 else base)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = near_dup.near_duplicates(frame).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+    table = near_dup.signatures(frame).selectExpr("doc_id as doc", "bands")
+    pairs = near_dup.stars(table, 4)
+    assert pairs.count() < 400 * 9  # a document has few partners, not one a band
+
+
 def test_texts_that_fool_plain_hashes(spark):
     from test_spans import thue_morse
 
