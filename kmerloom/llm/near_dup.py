@@ -345,7 +345,7 @@ def crossing(rows: DataFrame, percent: int, words: int, n: int) -> DataFrame:
 
 
 #: Documents of one side of a cell at about.
-BLOCK = 1024
+BLOCK = 512
 
 
 def cells(spread: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def strips(sums: np.ndarray, first: np.ndarray, rule: Rule) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
 
 
-#: kind 0: a strip, to be judged. kind 1: settled, its windows repeat earlier ones.
+#: kind 0: a strip, to be judged. kind 1: settled, its windows repeat earlier ones. kind 2: an anchor and how many strips of a batch have it, if these are many.
 STRIPS = "kind int, anchor long, strip long, doc long, start long, windows int"
 
 
@@ -87,8 +87,8 @@ def _batch(kind, anchor, strip, doc, start, windows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(kind, np.int32)), pa.array(anchor), pa.array(strip), pa.array(doc), pa.array(start), pa.array(np.asarray(windows, np.int32))], names=["kind", "anchor", "strip", "doc", "start", "windows"])
 
 
-def scan(texts: DataFrame, rule: Rule) -> DataFrame:
-    """Strips of all texts. Copies within one Arrow batch are settled here, before the shuffle: only the earliest travels."""
+def scan(texts: DataFrame, rule: Rule, n: int) -> DataFrame:
+    """Strips of all texts. Copies within one Arrow batch are settled here, before the shuffle: only the earliest travels. Anchors of over 1/n of a batch's open strips are told."""
 
     def run(batches):
         for batch in batches:
@@ -107,6 +107,13 @@ def scan(texts: DataFrame, rule: Rule) -> DataFrame:
             fresh[1:] = (anchor[1:] != anchor[:-1]) | (strip[1:] != strip[:-1])
             kind = ~fresh if rule.within else doc > doc[np.maximum.accumulate(np.where(fresh, np.arange(len(doc)), 0))]
             yield _batch(kind, np.where(kind, 0, anchor), np.where(kind, 0, strip), doc, start, windows)
+            own = anchor[~kind]
+            head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            times = np.diff(np.append(head, len(own)))
+            many = (times * n > len(own)) & (times > 1)
+            if many.any():
+                zero = np.zeros(many.sum(), np.int64)
+                yield _batch(zero + 2, own[head[many]], zero, zero, zero, times[many])
 
     return stream_arrow(texts, STRIPS, run)
 
@@ -115,9 +122,14 @@ def judge(found: DataFrame, rule: Rule, n: int) -> DataFrame:
     """Settles strips that equal an earlier one. Of the others, those whose anchor several different strips share stay open (kind 0), with their anchor.
 
     Rows stream by in order of anchor, strip, document and start; what is held between batches is the earliest strip of
-    the current anchor (with the word rule: its places in one document).
+    the current anchor (with the word rule: its places in one document). An anchor that the batches told of for over 1/n
+    of all open strips is dealt by strip, too, and stays open: there are n such anchors at most, and any other has at
+    most 2/n of the strips.
     """
-    open_ = found.where("kind = 0").repartition(n, "anchor").sortWithinPartitions("anchor", "strip", "doc", "start")
+    total = found.where("kind = 0").count()
+    often = F.broadcast(found.where("kind = 2").groupBy("anchor").agg(F.sum("windows").alias("n")).where(F.col("n") * n > total).select("anchor", F.lit(True).alias("often")))  # n rows at most
+    rows = found.where("kind = 0").join(often, "anchor", "left").select(*found.columns, F.coalesce("often", F.lit(False)).alias("often"))
+    open_ = rows.repartition(n, "anchor", F.when(F.col("often"), F.col("strip")).otherwise(F.lit(0))).sortWithinPartitions("anchor", "strip", "doc", "start")
 
     def run(batches):
         anchor0 = strip0 = lead0 = None
@@ -126,7 +138,7 @@ def judge(found: DataFrame, rule: Rule, n: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            _, anchor, strip, doc, start, windows = (c.to_numpy() for c in batch.columns)
+            _, anchor, strip, doc, start, windows, often = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             n = len(anchor)
             at = np.arange(n)
             new_anchor = np.ones(n, bool)
@@ -143,6 +155,7 @@ def judge(found: DataFrame, rule: Rule, n: int) -> DataFrame:
             if not new_anchor[0]:
                 kinds[0] += 2 if several else 1
             many = kinds > 1
+            many[group[often]] = True
             if waiting and (new_anchor[0] or many[0] or group[-1] > 0):
                 if not new_anchor[0] and many[0]:
                     yield from (_batch(np.zeros(len(w[0])), *w) for w in waiting)
@@ -168,7 +181,7 @@ def removed_spans(documents: DataFrame, rule: Rule, verdict: Callable[[list[byte
     spark = documents.sparkSession
     n = partitions(spark)
     texts = documents.where("doc_id is not null")
-    found = scan(texts, rule)
+    found = scan(texts, rule, n)
     first = saved(found, f"{name}-strips")
     judged = saved(judge(first, rule, n), f"{name}-judged")
     length = rule.length
@@ -188,7 +201,7 @@ def removed_spans(documents: DataFrame, rule: Rule, verdict: Callable[[list[byte
 
 
 #: Different strips of one anchor that are judged together at most. More are judged by window, see ``crowded_spans``.
-HOT = 4096
+HOT = 1024
 
 
 def crowded_spans(strips: DataFrame, rule: Rule) -> DataFrame:
@@ -237,6 +250,28 @@ def cut_strips(rows: DataFrame, rule: Rule) -> DataFrame:
     return stream_arrow(rows, "anchor long, doc long, start long, text binary, hot boolean", run)
 
 
+def paired(sums: np.ndarray, first: np.ndarray, anchor: np.ndarray, rule: Rule) -> np.ndarray:
+    """Which strips may share a window with another one of their anchor; ``sums`` and ``first`` are those of the strips' units.
+
+    A window reaches beyond its anchor by half of its other units on one side at least, so strips that share one agree
+    on so many units before, or after, the anchor. The anchor is its k-gram's first place in the strip.
+    """
+    n, side = len(first) - 1, (rule.length - rule.gram + 1) // 2
+    row = K.rows_of(first)
+    gram = K.gram_hash(sums, rule.gram)
+    hit = np.flatnonzero(gram == anchor.view(np.uint64)[row[: len(gram)]])
+    own, at = np.unique(row[hit], return_index=True)
+    at = hit[at]
+    may = np.ones(n, bool)
+    may[own] = False
+    for low, high in ((at - side, at), (at + rule.gram, at + rule.gram + side)):
+        there = (low >= first[own]) & (high <= first[own + 1])
+        key = K.span_hash(sums, low[there], high[there]) ^ K.mix(anchor[own[there]].view(np.uint64))
+        _, where, times = np.unique(key, return_inverse=True, return_counts=True)
+        may[own[there][times[where] > 1]] = True
+    return may
+
+
 #: Bytes of strips that are judged together at about; one anchor's strips are never parted.
 GROUP = 1 << 19
 

@@ -1,8 +1,11 @@
-"""Substring dedup by hashes of word windows, in place of a relative Lempel-Ziv parse.
+"""Substring dedup by words: relative Lempel-Ziv parsing.
 
 Reference blocks are the strips of all documents with one anchor (see ``spans``): every 50-word window of the corpus is
-in exactly one block. A block's windows are grouped by hash, and a window that a document with a smaller id has is a
-duplicate. Runs of such windows are joined to spans; a run has no one source place and may go on in another document.
+in exactly one block. A strip that equals an earlier document's is one factor as a whole. The others' blocks are indexed
+by a suffix array over words, with common prefixes: it gives, for each place of a strip, the longest match that starts in
+a document with a smaller id. The greedy parse takes the longest match at a window's start as a factor (source place and
+length). At a factor's boundary, windows that start inside it and reach beyond it are checked: where one of them has a
+longer match, a further factor starts. Factors of 50 words and more are duplicate spans.
 """
 
 from __future__ import annotations
@@ -20,32 +23,100 @@ from .common import clean_texts, stream_arrow
 RULE = S.Rule(length=50, gram=6, words=True, within=False)
 
 
-def factors(texts: list[bytes], anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int = RULE.length):
+def ranks(symbols: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
+    """Ranks of the texts of 1, 2, 4, ... symbols at each place, until ``left`` (symbols to the end of the own strip) is reached everywhere; what lies beyond a strip's end ranks lowest."""
+    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
+    out, have = [rank], 1
+    while have < left.max(initial=0):
+        after = np.zeros(len(rank), np.int64)
+        after[:-have] = np.where(left[:-have] > have, rank[have:], 0)
+        rank = np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)[1].astype(np.int64) + 1
+        out.append(rank)
+        have *= 2
+    return out
+
+
+def common_prefixes(levels: list[np.ndarray], left: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Symbols that each suffix of the order shares with the one before it; 0 for the first."""
+    out = np.zeros(len(order), np.int64)
+    a, b = order[:-1], order[1:]
+    same, room = np.zeros(len(a), np.int64), np.minimum(left[a], left[b])
+    for k in range(len(levels) - 1, -1, -1):
+        step = 1 << k
+        fits = same + step <= room
+        at = np.where(fits, same, 0)
+        same += step * (fits & (levels[k][a + at] == levels[k][b + at]))
+    out[1:] = same
+    return out
+
+
+def parse(words: np.ndarray, first: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(strip, place in the strip, length, source strip, place in the source) of the factors of at least ``length`` words.
+
+    words: the words' hashes, strip by strip; first: each strip's first; doc, start: each strip's place in the corpus.
+    """
+    row = K.rows_of(first)
+    left = first[row + 1] - np.arange(len(row))
+    none = (np.zeros(0, np.int64),) * 5
+    begin = np.flatnonzero(left >= length)
+    if not len(begin):
+        return none
+    levels = ranks(words, left)
+    order = begin[np.argsort(levels[-1][begin], kind="stable")]
+    shared = common_prefixes(levels, left, order)
+    # suffixes that share a window with a neighbour in the order
+    near = shared >= length
+    used = near | np.append(near[1:], False)
+    order, shared = order[used], shared[used]
+    if not len(order):
+        return none
+    place = np.empty(len(order), np.int64)  # order of the corpus
+    place[np.lexsort((start[row[order]] + order - first[row[order]], doc[row[order]]))] = np.arange(len(order))
+    by_place = np.empty(len(order), np.int64)
+    by_place[place] = np.arange(len(order))
+    match, source, at = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64), np.arange(len(order))
+    depth = length
+    while len(at):  # classes of suffixes that share depth words, from the least depth on
+        cut = shared < depth
+        cut[0] = True
+        head = np.flatnonzero(cut)
+        size = np.diff(np.append(head, len(at)))
+        least = np.repeat(by_place[np.minimum.reduceat(place[at], head)], size)
+        known = doc[row[order[least]]] < doc[row[order[at]]]
+        match[at[known]], source[at[known]] = depth, order[least[known]]
+        on = np.repeat(np.logical_or.reduceat(known, head) & (size > 1), size)
+        on_head = np.flatnonzero(on & cut)
+        shared = shared.copy()
+        shared[on_head] = 0
+        at, shared = at[on], shared[on]
+        depth += 1
+    found = np.flatnonzero(match)
+    found = found[np.argsort(order[found])]
+    strip, where, match, source = row[order[found]], order[found], match[found], source[found]
+    # a factor starts where a match ends beyond all factors before it in the strip
+    end = where + match + strip * len(row)  # strips don't overlap
+    before = np.maximum.accumulate(np.concatenate(([-1], end[:-1])))
+    lead = end > np.maximum(before, strip * len(row) + first[strip])
+    strip, where, match, source = strip[lead], where[lead], match[lead], source[lead]
+    return strip, where - first[strip], match, row[source], source - first[row[source]]
+
+
+def factors(texts: list[bytes], anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, rule: S.Rule = RULE):
     """Duplicate factors of the strips of whole blocks: (documents, starts, ends) in words."""
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
     data = np.frombuffer(b"".join(texts), np.uint8)
     starts, ends, first = K.words(data, offsets)
-    sums = K.prefix(K.span_hash(K.byte_prefix(data), starts, ends))
-    row = np.repeat(np.arange(len(texts)), np.maximum(0, np.diff(first) - length + 1))
-    if not len(row):
+    words = K.span_hash(K.byte_prefix(data), starts, ends)
+    may = S.paired(K.prefix(words), first, anchor, rule)
+    if not may.any():
         return
-    begin = np.flatnonzero(np.diff(row, prepend=-1))
-    at = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row)))) + first[row]
-    # the block's index: each window's least document
-    window = K.span_hash(sums, at, at + length)
-    order = np.lexsort((doc[row], window, anchor[row]))
-    w, a, d = window[order], anchor[row][order], doc[row][order]
-    fresh = np.ones(len(w), bool)
-    fresh[1:] = (w[1:] != w[:-1]) | (a[1:] != a[:-1])
-    least = np.empty(len(w), np.int64)
-    least[order] = d[np.maximum.accumulate(np.where(fresh, np.arange(len(w)), 0))]
-    # maximal runs of windows that smaller documents have
-    known = least < doc[row]
-    head = np.flatnonzero(known & ~np.concatenate(([False], known[:-1] & (row[1:] == row[:-1]))))
-    tail = np.flatnonzero(known & ~np.concatenate((known[1:] & (row[1:] == row[:-1]), [False])))
-    if len(head):
-        r = row[head]
-        yield doc[r], at[head] - first[r] + start[r], at[tail] - first[r] + start[r] + length
+    words = words[np.repeat(may, np.diff(first))]
+    first = np.concatenate(([0], np.cumsum(np.diff(first)[may])))
+    doc, start = doc[may], start[may]
+    strip, place, length, _, _ = parse(words, first, doc, start, rule.length)
+    if len(strip):
+        low = start[strip] + place
+        yield doc[strip], low, low + length
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -58,7 +129,7 @@ def dedup(documents: DataFrame, rule: S.Rule = RULE, with_text: bool = True) ->
     references: nothing is removed from them. Rows that share an id are one document's: they never judge each other.
     """
     docs = clean_texts(documents)
-    spans = S.removed_spans(docs, rule, lambda *x: factors(*x, rule.length), "words")
+    spans = S.removed_spans(docs, rule, lambda *x: factors(*x, rule), "words")
     schema = SCHEMA if with_text else SCHEMA.rpartition(",")[0]
 
     def run(batches):

@@ -82,9 +82,14 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
     return suffix[rows], block
 
 
-def repeats(texts: list[bytes], anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int = RULE.length):
+def repeats(texts: list[bytes], anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, rule: S.Rule = RULE):
     """Spans (documents, starts, ends) of the windows of the strips that another strip's window repeats earlier."""
-    shards, places = [], []
+    length, shards, places = rule.length, [], []
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+    may = S.paired(K.byte_prefix(np.frombuffer(b"".join(texts), np.uint8)), offsets, anchor, rule)
+    if not may.any():
+        return
+    texts, doc, start = [t for t, m in zip(texts, may) if m], doc[may], start[may]
     for k in range(SHARDS):
         own = range(k, len(texts), SHARDS)
         if not own:
@@ -129,7 +134,7 @@ def dedup(documents: DataFrame, rule: S.Rule = RULE, with_kept: bool = True) ->
     places the first stays in all of them.
     """
     docs = clean_texts(documents)
-    spans = S.removed_spans(docs, rule, lambda *x: repeats(*x, rule.length), "bytes")
+    spans = S.removed_spans(docs, rule, lambda *x: repeats(*x, rule), "bytes")
     schema = SCHEMA if with_kept else SCHEMA.rpartition(",")[0]
 
     def run(batches):

@@ -95,6 +95,41 @@ def test_dedup(spark, monkeypatch, small):
     assert sum(r.n_removed for r in raw.values()) > 1000
 
 
+def longest(words, docs, i, p):
+    """Longest match of strip i at place p in a strip of a smaller document, by brute force."""
+    best = 0
+    for j, other in enumerate(words):
+        if docs[j] < docs[i]:
+            for q in range(len(other)):
+                n = 0
+                while p + n < len(words[i]) and q + n < len(other) and words[i][p + n] == other[q + n]:
+                    n += 1
+                best = max(best, n)
+    return best
+
+
+def test_factors_are_greedy_and_have_sources():
+    rng = random.Random(9)
+    for _ in range(40):
+        pool = [[rng.randrange(3) for _ in range(12)] for _ in range(3)]
+        strips = [[rng.randrange(3) for _ in range(rng.randrange(0, 4))] + rng.choice(pool)[: rng.randrange(4, 13)] + [rng.randrange(3) for _ in range(rng.randrange(0, 6))] for _ in range(8)]
+        doc = np.array([rng.randrange(5) for _ in strips])
+        first = np.concatenate(([0], np.cumsum([len(x) for x in strips])))
+        words = np.array([w for x in strips for w in x], np.uint64)
+        got = list(zip(*substring_dedup.parse(words, first, doc, np.arange(len(strips)) * 100, 5)))
+        want = []
+        for i in range(len(strips)):
+            end = 0
+            for p in range(len(strips[i])):
+                n = longest(strips, doc, i, p)
+                if n >= 5 and p + n > end:
+                    end = p + n
+                    want.append((i, p, n))
+        assert [tuple(map(int, x[:3])) for x in got] == want
+        for i, p, n, j, q in got:
+            assert doc[j] < doc[i] and strips[i][p : p + n] == strips[j][q : q + n]
+
+
 def test_long_text_blocks(monkeypatch):
     rng = random.Random(3)
     text = ("".join(rng.choice("abc ") for _ in range(700)) * 3).encode()
