@@ -201,7 +201,7 @@ def removed_spans(documents: DataFrame, rule: Rule, verdict: Callable[[list[byte
 
 
 #: Different strips of one anchor that are judged together at most. More are judged by window, see ``crowded_spans``.
-HOT = 1024
+HOT = 4096
 
 
 def crowded_spans(strips: DataFrame, rule: Rule) -> DataFrame:
