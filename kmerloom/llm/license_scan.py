@@ -79,6 +79,17 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights; dedicated to the public domain under CC0 1.0 Universal."],
+    "ISC": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
     "Proprietary": ["Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.", "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited."],
 }
 FAMILIES = [*TEMPLATES, UNKNOWN]
@@ -271,12 +282,21 @@ def fit(unknown: list[str], steps: int = 150) -> Model:
     return Model(keys, w, b, templates)
 
 
+#: Words of lines that name a licence: such lines are no examples of unknown paragraphs.
+CUES = "licen|copyright|rights reserved|spdx|creative commons|public domain"
+
+
 def train(documents: DataFrame) -> Model:
-    """Unknown paragraphs come from SAMPLE_ROWS documents drawn by hash; lines that name a licence stay out."""
-    rows = clean_texts(documents).where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).collect()
-    lines = [x for r in sorted(rows) for x in r["text"].split("\n") if x.strip()]
-    cues = ("licen", "copyright", "rights reserved", "spdx", "creative commons", "public domain")
-    return fit([x for x in lines if not any(c in x.lower() for c in cues)][:SAMPLE_PARAGRAPHS])
+    """Unknown paragraphs are SAMPLE_PARAGRAPHS lines at most, drawn by hash from SAMPLE_ROWS documents drawn by hash; lines that name a licence stay out.
+
+    Ids are drawn first, so that no task sends texts but those of the drawn documents. Without documents the model
+    knows its templates only.
+    """
+    texts = clean_texts(documents).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    ids = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    lines = texts.join(F.broadcast(ids.distinct()), "doc_id").select(F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
+    drawn = lines.where(~F.lower("line").rlike(CUES)).orderBy(F.xxhash64("line"), "line").limit(SAMPLE_PARAGRAPHS)
+    return fit([r["line"] for r in drawn.collect()])
 
 
 SCHEMA = "doc_id long, paragraph long, start long, length long, family string, probability double, similarity double, confirmed boolean"

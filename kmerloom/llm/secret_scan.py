@@ -1,7 +1,7 @@
 """Secret scans: patterns, and password guess cost by dynamic programming for values in credential context.
 
 Guess cost follows the public idea of password-strength estimators: a value is segmented at minimum total cost into
-dictionary words, dates, repeats, keyboard walks and brute-force characters. Costs are log10 of guesses.
+dictionary words, dates, repeated blocks, keyboard walks, sequences and brute-force characters. Costs are log10 of guesses.
 """
 
 from __future__ import annotations
@@ -27,7 +27,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(r"""(?ai:pass(?:word|wd|phrase|code)|pwd|secret|token|api_?key|credentials?|auth(?:orization)?|private_?key|access_?key)["']?\x20*(?:[:=]|\bis\b)\x20*["']?([^\s"'<>]{6,})""")
 #: Values that take at least 10 ** MIN_COST guesses are secrets.
 MIN_COST = 8.0
+#: Segments of up to so many characters are all tried; of longer repeats, walks and sequences, the longest one that ends at a place.
 LONGEST = 40
+#: Longest block of a repeat, and longest value whose cost is kept for the next time.
+BLOCK, KEPT = 8, 64
 
 # Common passwords and their parts, most common first.
 WORDS = """password admin welcome letmein login master qwerty dragon monkey football baseball shadow sunshine princess secret token
@@ -36,7 +39,12 @@ january february march april june july august september october november decembe
 soccer batman trustno iloveyou whatever starwars killer pepper ginger cookie banana orange purple silver golden diamond
 freedom computer internet server system access please enter your here insert value placeholder none null true false key
 pass word my the and for you""".split()
-RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
+def ranked(words) -> dict[str, int]:
+    """Ranks, from 1, of words in lower case, most common first."""
+    return {w.lower(): i + 1 for i, w in reversed(list(enumerate(words)))}
+
+
+RANK = ranked(WORDS)
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("@4310$57!", "aaelosstI".lower())
 
@@ -51,43 +59,97 @@ def _cardinality(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100)
 
 
-@lru_cache(maxsize=4096)
-def guess_cost(value: str) -> float:
-    """Least log10 guesses over all segmentations of the whole value; each segment adds log10(2) for its place."""
-    n, step = len(value), math.log10(2)
-    low = value.lower()
+STEP = math.log10(2)
+
+
+def _lengths(run: int, least: int, unit: int = 1):
+    """Lengths to try of a run that ends at a place: whole units, up to LONGEST, and the longest."""
+    most = run // unit * unit
+    yield from range(least, min(most, LONGEST) + 1, unit)
+    if most > LONGEST:
+        yield most
+
+
+def segments(value: str, ranks: dict[str, int] = RANK):
+    """(end, start, cost) of the segments of a value, by their ends: words, dates, repeated blocks, keyboard walks, sequences.
+
+    Costs are log10 of guesses. Word: its rank, and two for each capital and for a spelling with look-alikes. Date: years
+    of a span of 120, days of them. Repeat: the block's own cost, and the number of times. Walk: start and turns.
+    Sequence (neighbouring code points): start, length and direction.
+    """
+    n, low = len(value), value.lower()
+    if len(low) != n:  # a few letters become two in lower case
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
-    best = [0.0] + [math.inf] * n
-    repeat = [1] * (n + 1)  # length of the run of one character that ends here
-    walk = [1] * (n + 1)  # length of the keyboard walk that ends here
-    turns = [0] * (n + 1)
+    sizes = sorted({len(w) for w in ranks if 3 <= len(w) <= LONGEST})
+    same = [0] * (BLOCK + 1)  # characters that equal the one q before them, up to here
+    walk, whole, rise = 1, 0, {1: 1, -1: 1}
     for i in range(1, n + 1):
         c = low[i - 1]
-        brute = _cardinality(value[i - 1])
-        best[i] = best[i - 1] + brute
-        if i > 1:
-            p = low[i - 2]
-            repeat[i] = repeat[i - 1] + 1 if c == p else 1
-            if c in _NEAR.get(p, ()):
-                walk[i] = walk[i - 1] + 1
-                turns[i] = turns[i - 1] + (i > 2 and walk[i - 1] > 1 and _direction(low[i - 3], p) != _direction(p, c))
-            else:
-                walk[i], turns[i] = 1, 0
-        if repeat[i] >= 3:
-            m = repeat[i]
-            best[i] = min(best[i], best[i - m] + brute + math.log10(m) + step)
-        if walk[i] >= 3:
-            m = walk[i]
-            best[i] = min(best[i], best[i - m] + math.log10(47 * m) + (turns[i] + 1) * math.log10(4) + step)
-        for m in range(3, min(LONGEST, i) + 1):
+        for q in range(1, min(BLOCK, i - 1) + 1):
+            same[q] = same[q] + 1 if c == low[i - 1 - q] else 0
+            for m in _lengths(same[q] + q, 3 if q == 1 else 2 * q, q) if same[q] >= (2 if q == 1 else q) else ():
+                yield i, i - m, guess_cost(value[i - q : i], ranks) + math.log10(m // q) + STEP
+        if i > 1 and c in _NEAR.get(low[i - 2], ()):
+            turned = walk > 1 and _direction(low[i - 3], low[i - 2]) != _direction(low[i - 2], c)
+            walk, whole = walk + 1, whole + turned
+        else:
+            walk, whole = 1, 0
+        for m in _lengths(walk, 3) if walk >= 3 else ():
+            bends = _bends(low[i - m : i]) if m <= LONGEST else whole
+            yield i, i - m, math.log10(47 * m) + (bends + 1) * math.log10(4) + STEP
+        for d in (1, -1):
+            rise[d] = rise[d] + 1 if i > 1 and value[i - 1].isalnum() and value[i - 2].isalnum() and ord(value[i - 1]) - ord(value[i - 2]) == d else 1
+            for m in _lengths(rise[d], 3) if rise[d] >= 3 else ():
+                yield i, i - m, _cardinality(value[i - m]) + math.log10(m) + (d < 0) * STEP + STEP
+        for m in sizes:
             j = i - m
-            rank = RANK.get(low[j:i]) or RANK.get(plain[j:i])
+            if j < 0:
+                break
+            exact = ranks.get(low[j:i])
+            rank = exact or ranks.get(plain[j:i])
             if rank:
-                changed = sum(a != b for a, b in zip(value[j:i], low[j:i])) + (0 if low[j:i] in RANK else 2)
-                best[i] = min(best[i], best[j] + math.log10(rank + 1) + changed * step + step)
-            if 4 <= m <= 10 and low[j].isdigit() and low[i - 1].isdigit() and _DATE.fullmatch(low[j:i]):
-                best[i] = min(best[i], best[j] + math.log10(365 * 120 if m > 4 else 120) + step)
-    return best[n]
+                changed = sum(a != b for a, b in zip(value[j:i], low[j:i])) + (0 if exact else 2)
+                yield i, j, math.log10(rank + 1) + changed * STEP + STEP
+        if c.isdigit():
+            for m in range(4, min(10, i) + 1):
+                if low[i - m].isdigit() and _DATE.fullmatch(low[i - m : i]):
+                    yield i, i - m, math.log10(365 * 120 if m > 4 else 120) + STEP
+
+
+def _cost(value: str, ranks: dict[str, int]) -> float:
+    best, found = [0.0], iter(segments(value, ranks))
+    end, start, cost = next(found, (0, 0, 0.0))
+    for i, c in enumerate(value, 1):
+        least = best[-1] + _cardinality(c)
+        while end == i:
+            least = min(least, best[start] + cost)
+            end, start, cost = next(found, (0, 0, 0.0))
+        best.append(least)
+    return best[-1]
+
+
+_kept: dict[str, float] = {}
+
+
+def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
+    """Least log10 guesses over all segmentations of the whole value into ``segments`` and brute-force characters.
+
+    Time grows with the value's length, by a factor that LONGEST, BLOCK and the words' lengths bound.
+    """
+    if ranks is not RANK or len(value) > KEPT:
+        return _cost(value, ranks)
+    if value not in _kept:
+        if len(_kept) >= 1 << 14:
+            _kept.clear()
+        _kept[value] = _cost(value, ranks)
+    return _kept[value]
+
+
+def _bends(walk: str) -> int:
+    """Changes of direction of a walk over the keyboard."""
+    ways = [_direction(a, b) for a, b in zip(walk, walk[1:])]
+    return sum(a != b for a, b in zip(ways, ways[1:]))
 
 
 def _direction(a: str, b: str) -> tuple[int, int]:

@@ -126,6 +126,64 @@ def test_guess_cost():
     assert abs(cost("zq") - 2 * np.log10(26)) < 1e-9
 
 
+def plain_segment(v):
+    """Least cost of a text as one segment, written anew."""
+    low, out, two = v.lower(), [np.inf], np.log10(2)
+    leet = "".join(dict(zip("@4310$57!", "aaelossti")).get(c, c) for c in low)
+    words = {w: i for i, w in reversed(list(enumerate(secret_scan.WORDS, 2)))}
+    if len(v) >= 3 and (low in words or leet in words):
+        out.append(np.log10(words.get(low) or words[leet]) + two * (1 + sum(a != b for a, b in zip(v, low)) + (0 if low in words else 2)))
+    for q in range(1, 9):
+        r = len(v) // q
+        if r * q == len(v) and r >= (3 if q == 1 else 2) and low == low[:q] * r:
+            out.append(plain_cost(v[-q:]) + np.log10(r) + two)
+    if len(v) >= 3:
+        if all(b in secret_scan._NEAR.get(a, ()) for a, b in zip(low, low[1:])):
+            way = [secret_scan._direction(a, b) for a, b in zip(low, low[1:])]
+            out.append(np.log10(47 * len(v)) + (1 + sum(a != b for a, b in zip(way, way[1:]))) * np.log10(4) + two)
+        for d in (1, -1):
+            if v.isalnum() and all(ord(b) - ord(a) == d for a, b in zip(v, v[1:])):
+                out.append(secret_scan._cardinality(v[0]) + np.log10(len(v)) + (two if d < 0 else 0) + two)
+    if 4 <= len(v) <= 10 and v[0].isdigit() and v[-1].isdigit() and secret_scan._DATE.fullmatch(low):
+        out.append(np.log10(120 if len(v) == 4 else 365 * 120) + two)
+    return min(out)
+
+
+def plain_cost(v):
+    """Least cost over all segmentations, one by one."""
+    if not v:
+        return 0.0
+    return min(min(plain_segment(v[:i]), secret_scan._cardinality(v[0]) if i == 1 else np.inf) + plain_cost(v[i:]) for i in range(1, len(v) + 1))
+
+
+def test_guess_cost_is_least_of_all_segmentations():
+    rng = random.Random(8)
+    parts = ["pass", "P@ss", "the", "My", "aaa", "aaaa", "abab", "abc", "cba", "987", "qwe", "asdf", "1987", "12-05", "x", "7", "é", "$", "K", "xyxyxy", "zzz1"]
+    for _ in range(250):
+        v = "".join(rng.choice(parts) for _ in range(3))[:9]
+        assert secret_scan.guess_cost(v) == pytest.approx(plain_cost(v)), v
+    assert secret_scan.guess_cost("abc" * 5) < 6 and secret_scan.guess_cost("abcdefghijklm") < 4
+    assert secret_scan.guess_cost("ab" * 50000) < 10 and secret_scan.guess_cost("q" * 100000) < 8
+    assert secret_scan.guess_cost("zqxv", secret_scan.ranked(["zqxv"])) < 1
+
+
+def test_empty_tables(spark):
+    """Every row-wise operator gives no rows for no rows, and trains on none."""
+    docs = frame(spark, TEXTS).limit(0)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert license_scan.scan(docs, license_scan.train(docs)).count() == 0
+    assert secret_scan.scan(docs).count() == 0 and secret_scan.redact_documents(docs).count() == 0
+    assert quality.train(docs, labels) is None and quality.score(docs, None).count() == 0 and quality.filter_documents(docs, None).count() == 0
+
+
+def test_license_train(spark):
+    """Bounded, by hash, whatever ids and texts there are."""
+    rows = [(i % 300, "Released under the MIT License.\n" + "\n".join(f"line {i} {j}" for j in range(20))) for i in range(400)] + [(None, "x"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = license_scan.scan(docs, license_scan.train(docs)).collect()
+    assert len(got) == 400 and {r.family for r in got} == {"MIT"}
+
+
 def test_redact(spark):
     docs = frame(spark, SECRETS)
     out = secret_scan.redact_documents(docs)
