@@ -16,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import kernels as K
 from . import linear as L
-from .common import clean_texts, map_arrow
+from .common import clean_texts, joined, map_arrow, saved, stream_arrow
 
 WINDOW = 8
 #: A window must have so many tokens that are no placeholders to be indexed by its template, or else the most of its item;
@@ -27,8 +28,6 @@ WINDOW = 8
 LITERALS = 5
 #: Least share of an item's tokens in matched windows, and least share of consistent slots.
 COVERAGE, CONSISTENCY = 0.5, 0.8
-#: Benchmark words that are broadcast at once; a larger benchmark is joined in blocks.
-BLOCK = 1 << 20
 
 # Number words and units.
 NUMBERS = """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen
@@ -96,7 +95,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Index:
-    """Benchmark items of one block: their tokens, and the hashes of their windows, sorted, with their places."""
+    """Some benchmark items: their tokens, and the hashes of their windows, sorted, with their places."""
 
     ids: np.ndarray
     first: np.ndarray
@@ -205,12 +204,84 @@ def matches(x: Index, data: np.ndarray, offsets: np.ndarray, coverage: float = C
 SCHEMA = "doc_id long, item_id long, windows long, coverage double, consistency double, exact boolean"
 
 
-def blocks(benchmark: DataFrame) -> list[Index]:
-    """Indexes of the benchmark, each of about BLOCK words at most."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
-    words = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 5
-    n = words // BLOCK + 1
-    return [index(sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).collect())) for b in range(n)]
+#: Bits of the filter for each window of the benchmark, and bits of the filter at most (32 MiB): what passes it by chance is settled by the join.
+BITS, MOST_BITS, PROBES = 128, 1 << 28, 4
+
+
+def _keys(h: np.ndarray, width: int, own: bool) -> np.ndarray:
+    return K.mix(h ^ K.U(0x9E3779B97F4A7C15 * (2 * width + own) & 0xFFFFFFFFFFFFFFFF))
+
+
+def windows_of(items: DataFrame) -> DataFrame:
+    """key, width, own, item_id of the items' windows (see ``index``), each once an item."""
+
+    def run(batch: pa.RecordBatch):
+        x = index(list(zip(range(batch.num_rows), batch.column(1).to_pylist())))
+        for (width, own), (keys, start, places) in x.by_width.items():
+            item = np.searchsorted(x.first, places, "right") - 1
+            key = np.repeat(_keys(keys, width, own), np.diff(start)).view(np.int64)
+            each = np.unique(np.column_stack((key, item)), axis=0)
+            n = len(each)
+            yield pa.RecordBatch.from_arrays([pa.array(each[:, 0]), pa.array(np.full(n, width, np.int32)), pa.array(np.full(n, own)), batch.column(0).take(pa.array(each[:, 1]))], names=["key", "width", "own", "item_id"])
+
+    return map_arrow(items, "key long, width int, own boolean, item_id long", run)
+
+
+def _probes(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the keys in a filter of a power of two bits."""
+    step = K.mix(keys) | K.U(1)
+    return ((keys + np.arange(PROBES, dtype=np.uint64)[:, None] * step) & K.U(bits - 1)).astype(np.int64)
+
+
+def window_filter(windows: DataFrame) -> tuple[np.ndarray, list[tuple[int, bool]]]:
+    """Filter of the windows' keys, of MOST_BITS bits at most, and the kinds (width, own) of windows that there are, which are 2 * WINDOW at most."""
+    kinds = windows.groupBy("width", "own").agg(F.count(F.lit(1)).alias("n")).collect()
+    total = sum(r["n"] for r in kinds)
+    bits = min(MOST_BITS, 1 << max(16, (BITS * total).bit_length()))
+
+    def run(batches):
+        state = np.zeros(bits // 64, np.uint64)
+        for batch in batches:
+            at = _probes(batch.column(0).to_numpy().view(np.uint64), bits).ravel()
+            np.bitwise_or.at(state, at >> 6, K.U(1) << (at & 63).astype(np.uint64))
+        used = np.flatnonzero(state)
+        for low in range(0, len(used), 1 << 16):
+            part = used[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(state[part].view(np.int64))], names=["at", "word"])
+
+    state = np.zeros(bits // 64, np.uint64)
+    merged = stream_arrow(windows.select("key").distinct(), "at long, word long", run).groupBy("at").agg(F.bit_or("word").alias("word"))
+    for batch in merged.toArrow().to_batches():  # MOST_BITS / 64 rows at most
+        state[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+    return state, sorted((int(r["width"]), bool(r["own"])) for r in kinds)
+
+
+def _found(data: np.ndarray, offsets: np.ndarray, state: np.ndarray, kinds: list[tuple[int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the windows that pass the filter, each once a row."""
+    letters, _, value, first = tokens(data, offsets)
+    sums: dict[bool, np.ndarray] = {}
+    out = [np.zeros((0, 2), np.int64)]
+    for width, own in kinds:
+        if len(value) < width:
+            continue
+        if own not in sums:
+            sums[own] = K.prefix(letters if own else value)
+        low = np.arange(len(value) - width + 1)
+        keys = _keys(K.span_hash(sums[own], low, low + width), width, own)
+        at = np.arange(len(keys))
+        for probe in range(PROBES):
+            bit = (keys[at] + K.U(probe) * (K.mix(keys[at]) | K.U(1))) & K.U(len(state) * 64 - 1)
+            at = at[(state[bit >> K.U(6)] >> (bit & K.U(63))) & K.U(1) > 0]
+        row = np.searchsorted(first, at, "right") - 1
+        inside = at + width <= first[row + 1]
+        out.append(np.column_stack((row[inside], keys[at[inside]].view(np.int64))))
+    both = np.unique(np.concatenate(out), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+#: Items that are compared with a document at once at about; a document that shares windows with more goes to several rows.
+TOGETHER = 512
+SCHEMA = "doc_id long, item_id long, windows long, coverage double, consistency double, exact boolean"
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
@@ -218,37 +289,77 @@ def contamination(documents: DataFrame, benchmark: DataFrame, coverage: float =
 
     coverage: share of the item's tokens in matched windows; consistency: share of matched slots that are filled like
     their item's value is elsewhere; exact: all slots hold the item's own values. Null and empty texts and items match
-    nothing; repeated rows are reported each.
+    nothing; repeated rows are reported each; of items that share an id, the one with the least text counts. Empty
+    tables give no rows.
+
+    Windows of documents that pass a filter of bounded size are hash-joined with the benchmark's windows; documents
+    travel only if they have such a window. The pairs of a document and an item are then compared token by token.
     """
-    out = None
-    for x in blocks(benchmark):
-        shared = documents.sparkSession.sparkContext.broadcast(x)
+    check = Check(documents, benchmark, coverage, consistency)
+    held = check.screened(clean_texts(documents), True)
+    return check.compared(held).select(*(c.split()[0] for c in SCHEMA.split(", ")))
 
-        def run(batch: pa.RecordBatch, shared=shared):
-            for low, high, data, offsets in K.pieces(batch.column(1)):
-                own = shared.value
-                rows = [(batch.column(0)[low + r].as_py(), int(own.ids[i]), w, c, s, e) for r, i, w, c, s, e in matches(own, data, offsets, coverage, consistency) if c >= coverage and s >= consistency]
-                if rows:
-                    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-        part = map_arrow(clean_texts(documents), SCHEMA, run)
-        out = part if out is None else out.unionByName(part)
-    return out
+class Check:
+    """The benchmark's windows and their filter, and the steps that documents go through."""
 
+    def __init__(self, documents: DataFrame, benchmark: DataFrame, coverage: float, consistency: float):
+        items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+        self.items = saved(items.groupBy("item_id").agg(F.min("text").alias("text")), "leaks-items")
+        self.windows = saved(windows_of(self.items), "leaks-windows")
+        self.shared = documents.sparkSession.sparkContext.broadcast(window_filter(self.windows))
+        self.coverage, self.consistency = coverage, consistency
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
-    """The rows without a benchmark item, with all their columns; judged where they are read, without a shuffle."""
-    at = documents.columns.index("text")
-    for x in blocks(benchmark):
-        shared = documents.sparkSession.sparkContext.broadcast(x)
+    def screened(self, documents: DataFrame, hit: bool) -> DataFrame:
+        """The rows whose text has a window that passes the filter, with the windows' keys (``__keys``) and a hash of id and text (``__doc``); or else the other rows as they are."""
+        at, shared = documents.columns.index("text"), self.shared
+        names = [*documents.columns, "__keys"]
 
-        def run(batch: pa.RecordBatch, shared=shared):
+        def run(batch: pa.RecordBatch):
             for low, high, data, offsets in K.pieces(batch.column(at)):
-                kept = np.ones(high - low, bool)
-                for r, _, _, c, s, _ in matches(shared.value, data, offsets, coverage, consistency):
-                    kept[r] &= not (c >= coverage and s >= consistency)
-                yield batch.slice(low, high - low).filter(pa.array(kept))
+                row, key = _found(data, offsets, *shared.value)
+                rows, begin = np.unique(row, return_index=True)
+                if not hit:
+                    clean = np.ones(high - low, bool)
+                    clean[rows] = False
+                    yield batch.slice(low, high - low).filter(pa.array(clean))
+                elif len(rows):
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(key)).astype(np.int32)), pa.array(key))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).take(pa.array(rows)).columns, lists], names=names)
+
+        if not hit:
+            return map_arrow(documents, documents.schema, run)
+        found = map_arrow(documents, StructType([*documents.schema.fields, StructField("__keys", ArrayType(LongType()))]), run)
+        return saved(found.withColumn("__doc", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))), "leaks-documents")
+
+    def compared(self, held: DataFrame) -> DataFrame:
+        """Rows of SCHEMA and the document's ``__doc``: documents and items that share a window are compared token by token."""
+        hits = held.select("__doc", F.explode("__keys").alias("key")).distinct()
+        both = saved(joined(hits, self.windows.select("key", "item_id").distinct(), "key").select("__doc", "item_id").distinct(), "leaks-pairs")
+        parts = both.groupBy("__doc").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts"))
+        dealt = joined(both, parts, "__doc").select("__doc", "item_id", F.pmod(F.xxhash64("item_id"), F.col("parts")).alias("part"))
+        with_items = joined(dealt, self.items, "item_id").groupBy("__doc", "part").agg(F.sort_array(F.collect_list(F.struct("item_id", "text"))).alias("items"))
+        texts = held.select("__doc", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        rows = joined(texts, with_items, "__doc").select("__doc", "doc_id", "text", "items")
+        coverage, consistency = self.coverage, self.consistency
+
+        def run(batch: pa.RecordBatch):
+            out = []
+            for r in range(batch.num_rows):
+                x = index([(i["item_id"], i["text"]) for i in batch.column(3)[r].as_py()])
+                data, offsets = L.texts_of([batch.column(2)[r].as_py()])
+                found = [m for m in matches(x, data, offsets, coverage, consistency) if m[3] >= coverage and m[4] >= consistency]
+                out += [(batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), int(x.ids[i]), w, c, s, e) for _, i, w, c, s, e in found]
+            if out:
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["__doc", *(c.split()[0] for c in SCHEMA.split(", "))])
+
+        return map_arrow(rows, f"__doc long, {SCHEMA}", run)
+
 
-        documents = map_arrow(documents, documents.schema, run)
-    return documents
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
+    """The rows without a benchmark item, with all their columns. Rows without a window that passes the filter are kept where they are read; only the others are joined."""
+    check = Check(documents, benchmark, coverage, consistency)
+    held = check.screened(documents, True)
+    gone = check.compared(held).select("__doc").distinct()
+    return check.screened(documents, False).unionByName(joined(held, gone, "__doc", "left_anti").select(*documents.columns))

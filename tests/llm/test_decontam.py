@@ -1,6 +1,8 @@
 """Benchmark decontamination on planted copies and re-parameterised questions."""
 
-from kmerloom.llm import decontam
+import random
+
+from kmerloom.llm import decontam, linear
 
 ITEMS = [
     (1, "Anna buys 3 apples and 12 pears for 4 dollars at the market near the old station. How much does Anna pay for each pear?"),
@@ -33,6 +35,35 @@ def test_copies_and_templates(spark):
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [12, 13, 14, 16]
 
 
+def test_join_finds_what_comparing_all_finds(spark, monkeypatch):
+    """Random documents and items that share windows, against the comparison of every document with every item; also with a filter that lets all windows pass."""
+    rng = random.Random(6)
+    vocab = "the of river Anna Boris Clara 3 14 159 dollars km fields run slowly over many old roofs question answer".split()
+    shared = " ".join(rng.choice(vocab) for _ in range(14))
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, f"{prose(rng.randrange(0, 20))} {shared if i % 3 else ''} {prose(rng.randrange(1, 12))}") for i in range(25)] + [(30, "old roofs"), (31, None), (3, "zzz")]
+    docs = [(i, f"{prose(10)} {rng.choice(items[:25])[1]} {prose(8)} {rng.choice(items[:25])[1] if i % 2 else ''}") for i in range(60)]
+    docs += [docs[0], (None, docs[1][1]), (None, None), (70, "")]
+    least = {}
+    for i, t in items:
+        if t is not None:
+            least[i] = min(t, least.get(i, t))
+    want = set()
+    for d, t in docs:
+        for i, text in least.items():
+            x = decontam.index([(i, text)])
+            want |= {(d, i, w, round(c, 9), round(s, 9), e) for _, _, w, c, s, e in decontam.matches(x, *linear.texts_of([t])) if c >= decontam.COVERAGE and s >= decontam.CONSISTENCY}
+    for bits, together in ((decontam.MOST_BITS, 512), (1 << 6, 3)):
+        monkeypatch.setattr(decontam, "MOST_BITS", bits)
+        monkeypatch.setattr(decontam, "TOGETHER", together)
+        frame, bench, _ = run(spark, docs, items)
+        got = [(r.doc_id, r.item_id, r.windows, round(r.coverage, 9), round(r.consistency, 9), r.exact) for r in decontam.contamination(frame, bench).collect()]
+        assert set(got) == want and len(want) > 60
+        assert len(got) == len(want) + sum(x[0] == 0 for x in want)  # the repeated row is reported twice
+        kept = sorted((r.doc_id or -1, r.text or "") for r in decontam.drop_contaminated(frame, bench).collect())
+        assert kept == sorted((d or -1, t or "") for d, t in docs if not any(w[0] == d and (d is not None or t) for w in want))
+
+
 def test_inconsistent_slots(spark):
     item = [(1, "Anna met Boris so Anna told Boris that Anna likes Boris but Boris left Anna when Anna saw Boris again")]
     swapped = "Clara met David so Erik told Frida that Gina likes Hugo but Ines left Jan when Karl saw Lena again"
