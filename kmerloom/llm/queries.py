@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, decontam, license_scan, mixing, near_dup, quality, secret_scan, substring_dedup, suffix_dedup, toxicity
 
@@ -62,6 +63,21 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4 that SQL can express: counts and digest of the base spans."""
+    return op4_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9 that SQL can express: the counts and the base verdict."""
+    return quality.score(table(spark, sf_dir, "documents"), None).drop("quality", "kept")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7 that SQL can express: sizes, and targets to two decimals."""
+    return op7_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 2).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -73,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
     "op10_near_duplicates": op10_near_duplicates,
+    "secret_base": secret_base,
+    "quality_counts": quality_counts,
+    "mix_targets": mix_targets,
 }
 
 _SHINGLES = """docs as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
@@ -80,7 +99,37 @@ sets as (select doc_id, list_distinct(case when len(w) >= 5 then list_transform(
 
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
+_KEYWORD = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+#: kind, pattern (with a capturing group around what must be long enough), least length
+_BASE = (("assign", f"""(?:{_KEYWORD})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 6), ("access", "(AKIA[A-Z0-9]+)", 20), ("hex", "([0-9a-f]+)", 24))
+
+
+def _base_spans(order: int, kind: str, pattern: str, least: int) -> str:
+    """Spans of a kind: starts are the lengths of what lies between matches and of the matches before."""
+    return f"""select doc_id, {order} as k, '{kind}' as kind, s, s + length(m[i]) as e from (select *, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint as s from
+(select *, unnest(range(1, len(m) + 1)) as i from (select doc_id, string_split_regex(t, '{pattern}') as p, regexp_extract_all(t, '{pattern}') as m, regexp_extract_all(t, '{pattern}', 1) as g from docs) a) b where length(g[i]) >= {least}) c"""
+
+
 ORACLE: dict[str, str] = {
+    "secret_base": f"""
+with docs as (select doc_id, coalesce(text, '') as t from documents), spans as ({" union all ".join(_base_spans(i, *x) for i, x in enumerate(_BASE))}),
+sums as (select doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex, string_agg(kind || ':' || s || ':' || e, ',' order by s, k) as b from spans group by 1)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(b, '')) as base_sha256 from docs left join sums using (doc_id)""",
+    "quality_counts": f"""
+with docs as (select doc_id, coalesce(text, '') as t, {_WORDS} as w from documents),
+grams as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as h from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from docs where len(w) >= 5) x),
+again as (select doc_id, i from (select *, count(*) over (partition by doc_id, h) as c from grams) y where c > 1),
+hit as (select doc_id, count(distinct p) as n from (select doc_id, i + unnest(range(0, 5)) as p from again) z group by 1),
+counts as (select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l, coalesce(n, 0)::bigint as n_repeat_words from docs left join hit using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from counts""",
+    "mix_targets": f"""
+with docs as (select doc_id, source, len({_WORDS})::bigint as size from documents),
+sources as (select source, sum(size)::bigint as s, (row_number() over (order by source nulls last) - 1) % 3 + 1 as w from docs group by source),
+sorted as (select *, 3.0::double * s / w as r, sum(s) over () as total, sum(w) over () as weights, coalesce(sum(3 * s) over (order by 3.0::double * s / w, source rows between unbounded preceding and 1 preceding), 0) as fixed,
+  coalesce(sum(w) over (order by 3.0::double * s / w, source rows between unbounded preceding and 1 preceding), 0) as gone from sources),
+rate as (select min((total - fixed)::double / (weights - gone)) as rate from (select *, row_number() over (order by r, source) as n from sorted where (total - fixed)::double / (weights - gone) <= r order by n limit 1) x)
+select doc_id, size, s as source_size, round(least(coalesce(rate, 1e300) * w, 3.0::double * s), 2) as target from docs join sources on docs.source is not distinct from sources.source, rate""",
     "op2_suffix_dedup": """
 with docs as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
 windows as (select doc_id, p, md5(substr(x, 2 * p + 1, 200)) as h from (select doc_id, x, unnest(range(0, len(x) // 2 - 99)) as p from docs where len(x) >= 200) w),
