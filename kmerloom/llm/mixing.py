@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import map_arrow, partitions, saved, stream_arrow
+from .common import map_arrow, of_groups, partitions, saved, stream_arrow
 
 CAP = 3.0
-#: Documents of one flight group at about; groups are drawn by hash, so hot sources are dealt over many.
-GROUP = 4_000
+#: Documents of one flight group at about; a source's documents are drawn into as many groups by hash.
+GROUP = 1_000
 
 
 def sizes(documents: DataFrame) -> DataFrame:
@@ -35,22 +35,6 @@ def sizes(documents: DataFrame) -> DataFrame:
     return map_arrow(frame, "doc_id long, source string, size long", run)
 
 
-def targets(totals: list[tuple[str | None, int]], cap: float = CAP) -> dict[str | None, float]:
-    """Targets of the sources: weights 1, 2, 3, repeating, by code point (null last), share the total; a target stops at cap times its source's size, and the excess is shared anew by weight."""
-    order = sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: 1 + i % 3 for i, (s, _) in enumerate(order)}
-    size = dict(order)
-    total = float(sum(size.values()))
-    fixed: dict[str | None, float] = {}
-    while True:
-        free = [s for s in size if s not in fixed]
-        rest, weights = total - sum(fixed.values()), sum(weight[s] for s in free)
-        above = [s for s in free if rest * weight[s] / weights > cap * size[s]]
-        if not above:
-            return fixed | {s: rest * weight[s] / weights for s in free}
-        fixed |= {s: cap * size[s] for s in above}
-
-
 def flight(ids: np.ndarray, size: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Flight phase over one group, in the given order: keeps sum(p * size) and sum(p) while it settles all but two documents at most.
 
@@ -90,7 +74,7 @@ def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.array(best)
 
 
-_FLIGHT = "doc_id long, source string, size long, source_size long, target double, whole long, p double, draw long"
+_FLIGHT = "doc_id long, source string, size long, source_size long, target double, whole long, p double, draw long, groups long"
 
 
 def _fly(frame: DataFrame, keys: list[str], last: bool) -> DataFrame:
@@ -141,39 +125,68 @@ def _fly(frame: DataFrame, keys: list[str], last: bool) -> DataFrame:
     return stream_arrow(frame, _FLIGHT, run)
 
 
+def source_table(sized: DataFrame, cap: float = CAP) -> DataFrame:
+    """none, key (whether the source is null, and its name or ""), size (its rows), source_size, target and rate of each source.
+
+    Weights 1, 2, 3, repeating, by code point (null last), share all words; a target stops at cap times its source's size, and the excess is shared anew by weight.
+
+    Sources are ranked by range partitions and their counts, and the excess is shared anew by sums over the table, so that
+    the driver sees a row a partition and a few numbers, however many sources there are. Sums are of whole numbers: reruns agree.
+    """
+    spark = sized.sparkSession
+    totals = sized.groupBy(F.isnull("source").alias("none"), F.coalesce("source", F.lit("")).alias("key")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("size"))
+    ordered = totals.repartitionByRange(partitions(spark), "none", "key").sortWithinPartitions("none", "key")
+    placed = saved(ordered.select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")), "mix-order")
+    shift, before = [], 0
+    for r in sorted(placed.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m")).collect()):
+        shift.append((r["p"], before - r["m"]))
+        before += r["n"]
+    ranked = placed.join(F.broadcast(spark.createDataFrame(shift, "p int, shift long")), "p")
+    table = saved(ranked.select("none", "key", "size", "source_size", (1 + (F.col("m") + F.col("shift")) % 3).alias("w")), "mix-sources")
+    sums = table.agg(F.sum("source_size").alias("total"), F.sum("w").alias("w")).first()
+    total, rest, weights, known = sums["total"] or 0, float(sums["total"] or 0), sums["w"] or 1, 0
+    while True:
+        above = F.lit(rest) * F.col("w") / weights > cap * F.col("source_size")
+        found = table.agg(F.count(F.when(above, 1)).alias("n"), F.sum(F.when(above, F.col("source_size"))).alias("s"), F.sum(F.when(~above, F.col("w"))).alias("w")).first()
+        if found["n"] == known or not found["w"]:
+            break
+        known, rest, weights = found["n"], total - cap * found["s"], found["w"]
+    target = F.when(above, cap * F.col("source_size")).otherwise(F.lit(rest) * F.col("w") / weights)
+    return table.select("none", "key", "size", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))
+
+
 def mix_sources(documents: DataFrame, cap: float = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target (its source's) and taken (words the mix takes, repeats counted), one row per input row.
 
-    taken / size is a whole number from 0 to cap. Rows without words are never taken. Sources are a mixture's dimension,
-    so their totals (one row a source) are held by the driver. Repeated rows and ids count as documents of their own;
-    a null id is a document, too. An empty table gives no rows. Reruns agree: draws depend on ids and sizes only.
+    taken / size is a whole number from 0 to cap. Rows without words are never taken. Repeated rows and ids count as
+    documents of their own; a null id is a document, too. An empty table gives no rows. Reruns agree: draws depend on
+    ids and sizes only.
     """
     spark = documents.sparkSession
+    n = partitions(spark)
     sized = saved(sizes(documents), "mix-sizes")
-    totals = [(r["source"], r["s"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()]
-    goal = targets([(s, n) for s, n, _ in totals], cap)
-    table = spark.createDataFrame([(s, int(n), float(goal[s]), float(goal[s] / n if n else 0.0)) for s, n, _ in totals], "source string, source_size long, target double, rate double")
-    rate = F.when(F.col("size") > 0, F.col("rate")).otherwise(0.0)
+    table = saved(source_table(sized, cap), "mix-targets")
+    rate = F.when(F.col("words") > 0, F.col("rate")).otherwise(0.0)
     whole = F.least(F.floor(rate + 1e-12), F.lit(int(cap)))
-    frame = (
-        sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["source"])).drop(table["source"])
-        .select("doc_id", "source", "size", "source_size", "target", whole.alias("whole"), F.greatest(F.lit(0.0), rate - whole).alias("p"), F.xxhash64(F.lit(7), F.coalesce("doc_id", F.lit(0)), "size").alias("draw"))
-    )
-    rows = sum(n for *_, n in totals)
+    rows = sized.select("doc_id", "source", F.col("size").alias("words"), F.isnull("source").alias("none"), F.coalesce("source", F.lit("")).alias("key"))
+    frame = of_groups(rows, table, ["none", "key"], n).select(
+        "doc_id", "source", F.col("words").alias("size"), "source_size", "target", whole.alias("whole"), F.greatest(F.lit(0.0), rate - whole).alias("p"),
+        F.xxhash64(F.lit(7), F.coalesce("doc_id", F.lit(0)), "words").alias("draw"), F.ceil(F.col("size") / GROUP).alias("groups"),
+    )
+    most = table.agg(F.max("size").alias("n")).first()["n"] or 0
+    most = -(-most // GROUP)  # groups of the largest source
     settled = []
-    groups = rows // GROUP
     while True:
-        # each round deals the documents over fewer groups; within the last, a source is one group of what few are left
-        count = max(1, min(groups, 1 << 20))
-        last = groups <= 1
-        dealt = frame.withColumn("g", F.pmod(F.col("draw"), F.lit(count)))
-        dealt = dealt.repartition(max(partitions(spark), 1), "g", "source").sortWithinPartitions("g", "source", "draw", "doc_id", "size")
+        # each round deals a source's documents over fewer groups; in the last, a source is one group of what few are left
+        last = most <= 1
+        dealt = frame.withColumn("g", F.pmod(F.col("draw"), F.greatest(F.lit(1), F.col("groups"))))
+        dealt = dealt.repartition(n, "g", "source").sortWithinPartitions("g", "source", "draw", "doc_id", "size")
         flown = saved(_fly(dealt, ["g", "source"], last), "mix-flight")
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         settled.append(flown.where(~open_))
         if last:
             break
-        frame, groups = flown.where(open_), groups * 2 * max(1, len(totals)) // GROUP if groups > GROUP else 1
+        frame, most = flown.where(open_).withColumn("groups", F.ceil(2 * F.col("groups") / GROUP)), -(-2 * most // GROUP)
     out = settled[0]
     for x in settled[1:]:
         out = out.unionByName(x)

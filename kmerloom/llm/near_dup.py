@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.align import components
 from . import kernels as K
-from .common import clean_texts, joined, map_arrow, partitions, saved, stream_arrow
+from .common import clean_texts, joined, map_arrow, of_groups, partitions, saved, stream_arrow
 
 WORDS = 5
 MINIMA, BITS, BANDS, ROWS = 128, 4, 48, 6
@@ -368,16 +368,6 @@ def cells(spread: DataFrame) -> DataFrame:
     return rows.select("band", "doc", "component", F.explode(F.when(F.col("component") == F.col("main"), of_main).otherwise(of_other)).alias("c")).select("band", "doc", "component", "c.*")
 
 
-def of_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Rows with the columns of their group (keys, size, ...); rows without one go.
-
-    Groups of over 1/n of all rows are n at most: they are broadcast, so that no task gathers one. The rest is a sort-merge join.
-    """
-    total = rows.count()
-    hot, rest = F.broadcast(groups.where(F.col("size") * n > total)), groups.where(F.col("size") * n <= total)
-    return rows.join(hot, keys).unionByName(joined(rows.join(hot.select(*keys), keys, "left_anti"), rest, keys))
-
-
 #: Pairs of one document that are confirmed in one group at about; documents with more partners are dealt over several groups.
 GROUP = 64
 

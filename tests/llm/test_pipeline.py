@@ -11,9 +11,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline  # noqa: E402
 from test_near_dup import brute  # noqa: E402
-from test_rows import plain_counts  # noqa: E402
+from test_rows import plain_counts, plain_targets  # noqa: E402
 
-from kmerloom.llm import linear, mixing, quality  # noqa: E402
+from kmerloom.llm import linear, quality  # noqa: E402
 
 VOCAB = [a + b + c for a in ("ka", "lo", "mi", "ren", "sto") for b in ("ta", "vi", "ro", "ne") for c in ("l", "n", "s", "")]
 
@@ -78,7 +78,7 @@ def test_run(spark, tmp_path):
         totals[c[3]] += size(c[1])
         largest[c[3]] = max(largest[c[3]], size(c[1]))
         taken[c[3]] += size(c[1]) * copies[c[0]]
-    for source, goal in mixing.targets(list(totals.items())).items():
+    for source, goal in plain_targets(list(totals.items())).items():
         assert abs(taken[source] - goal) <= largest[source]
 
 

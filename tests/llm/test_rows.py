@@ -271,11 +271,27 @@ def test_wrapped_licenses(spark):
     assert not any(r.confirmed for r in got if r.doc_id == 6)
 
 
-def test_targets():
-    got = mixing.targets([("b", 100), (None, 10), ("a", 1), ("c", 400)])
-    assert got["a"] == pytest.approx(3)  # weights: a 1, b 2, c 3, null 1
-    rest = 511 - 3
-    assert got[None] == pytest.approx(30) and got["b"] == pytest.approx((rest - 30) * 2 / 5) and got["c"] == pytest.approx((rest - 30) * 3 / 5)
+def plain_targets(totals, cap=3.0):
+    order = sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
+    weight, size = {s: 1 + i % 3 for i, (s, _) in enumerate(order)}, dict(order)
+    fixed = {}
+    while True:
+        free = [s for s in size if s not in fixed]
+        rest, weights = sum(size.values()) - sum(fixed.values()), sum(weight[s] for s in free)
+        above = [s for s in free if rest * weight[s] / weights > cap * size[s]]
+        if not above:
+            return fixed | {s: rest * weight[s] / weights for s in free}
+        fixed |= {s: cap * size[s] for s in above}
+
+
+def test_targets(spark):
+    """Few and many sources, with nulls, empty names and sources without words, whose share others get in turn."""
+    rng = random.Random(2)
+    many = [(f"s{i:04}é"[: 4 + i % 3] + str(i), rng.choice([0, 1, 5, 1000, 30000])) for i in range(700)] + [(None, 7), ("", 3)]
+    for totals in ([("b", 100), (None, 10), ("a", 1), ("c", 400)], [("x", 0), (None, 0)], [("a", 5)], many):
+        sized = spark.createDataFrame([(1, s, n) for s, n in totals] + [(2, totals[0][0], 0)], "doc_id long, source string, size long")
+        got = {None if r.none else r.key: r.target for r in mixing.source_table(sized).collect()}
+        assert got == pytest.approx(plain_targets(totals))
 
 
 def test_flight_keeps_totals():
