@@ -5,6 +5,8 @@ Global distance is the built-in ``levenshtein``; prefix and infix modes, paths a
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,38 +54,102 @@ def semiglobal(query: str, target: str, mode: str, most: int = -1) -> tuple[int,
     return distance, start, end - 1
 
 
-def path(query: str, target: str, extended: bool = False) -> tuple[int, str]:
-    """Global distance and CIGAR. Space is one row of directions per query letter."""
+#: Cells of a table of distances that are kept at once; larger ones are split at the query's middle.
+CELLS = 1 << 20
+
+
+def _steps(query: str, target: str) -> list[str]:
+    """Steps of a best global alignment. Space is CELLS distances and a few rows, whatever the lengths: the query is halved, and the target cut where the halves' distances add up to the least."""
     n, m = len(query), len(target)
+    if n > 1 and (n + 1) * (m + 1) > CELLS:
+        half = n // 2
+        cut = int((_last_row(query[:half], target, "prefix") + _last_row(query[half:][::-1], target[::-1], "prefix")[::-1]).argmin())
+        return _steps(query[:half], target[:cut]) + _steps(query[half:], target[cut:])
     t = np.frombuffer(target.encode("utf-32-le"), np.uint32)
     at = np.arange(m + 1)
-    rows = [at.copy()]
+    rows = np.empty((n + 1, m + 1), np.int32)
+    rows[0] = at
     for i, c in enumerate(query, 1):
         best = np.empty(m + 1, np.int64)
         best[0] = i
-        best[1:] = np.minimum(rows[-1][1:] + 1, rows[-1][:-1] + (t != ord(c)))
-        rows.append(np.minimum.accumulate(best - at) + at)
+        best[1:] = np.minimum(rows[i - 1, 1:] + 1, rows[i - 1, :-1] + (t != ord(c)))
+        rows[i] = np.minimum.accumulate(best - at) + at
     i, j, steps = n, m, []
     while i or j:
-        here = rows[i][j]
-        if i and j and here == rows[i - 1][j - 1] + (query[i - 1] != target[j - 1]):
-            steps.append(("=" if query[i - 1] == target[j - 1] else "X") if extended else "M")
+        here = rows[i, j]
+        if i and j and here == rows[i - 1, j - 1] + (query[i - 1] != target[j - 1]):
+            steps.append("=" if query[i - 1] == target[j - 1] else "X")
             i, j = i - 1, j - 1
-        elif i and here == rows[i - 1][j] + 1:
+        elif i and here == rows[i - 1, j] + 1:
             steps.append("I")
             i -= 1
         else:
             steps.append("D")
             j -= 1
-    steps.reverse()
-    out, k = [], 0
-    while k < len(steps):
-        e = k
-        while e < len(steps) and steps[e] == steps[k]:
-            e += 1
-        out.append(f"{e - k}{steps[k]}")
-        k = e
-    return int(rows[n][m]), "".join(out)
+    return steps[::-1]
+
+
+def path(query: str, target: str, extended: bool = False, mode: str = "global") -> tuple[int, str]:
+    """Distance and CIGAR of a best alignment; in prefix and infix modes, to the target's part that ``semiglobal`` finds."""
+    if mode != "global":
+        _, start, end = semiglobal(query, target, mode)
+        target = target[start : end + 1]
+    steps = _steps(query, target)
+    distance = sum(x != "=" for x in steps)
+    if not extended:
+        steps = ["M" if x in "=X" else x for x in steps]
+    return distance, "".join(f"{sum(1 for _ in group)}{x}" for x, group in itertools.groupby(steps))
+
+
+def banded_distance(query: str, target: str, width: int) -> int:
+    """Global edit distance of alignments that stay within ``width`` of the diagonal: -1 if none does. Space and time are a band's, not a table's."""
+    n, m = len(query), len(target)
+    if abs(n - m) > width:
+        return -1
+    t = np.frombuffer(target.encode("utf-32-le"), np.uint32)
+    lanes, far = np.arange(-width, width + 1), 1 << 30
+    row = np.where((lanes >= 0) & (lanes <= m), lanes, far)
+    for i, c in enumerate(query, 1):
+        j = i + lanes
+        inside = (j >= 0) & (j <= m)
+        new = row + np.where((j > 0) & inside, t[np.clip(j - 1, 0, max(0, m - 1))] != ord(c) if m else True, far)
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        new = np.where(inside, np.minimum(new, far), far)
+        row = np.where(inside, np.minimum.accumulate(new - lanes) + lanes, far)
+    return int(row[m - n + width])
+
+
+def _local_end(a: np.ndarray, b: np.ndarray, match: int, mismatch: int, gap: int) -> tuple[int, int, int]:
+    """Best score of any two parts, and where they end (the first such place)."""
+    at = np.arange(len(b) + 1)
+    row, best = np.zeros(len(b) + 1, np.int64), (0, 0, 0)
+    for i, c in enumerate(a, 1):
+        new = np.zeros_like(row)
+        new[1:] = np.maximum(np.maximum(row[1:] + gap, row[:-1] + np.where(b == c, match, mismatch)), 0)
+        row = np.maximum.accumulate(new - at * gap) + at * gap
+        j = int(row.argmax())
+        if row[j] > best[0]:
+            best = int(row[j]), i, j
+    return best
+
+
+def local_align(query: str, target: str, match: int = 1, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int, int, int]:
+    """(score, begin and end in the query, begin and end in the target) of the best local alignment; zeros without any match. Space is one row."""
+    a, b = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (query, target))
+    score, i, j = _local_end(a, b, match, mismatch, gap)
+    back, p, q = _local_end(a[:i][::-1], b[:j][::-1], match, mismatch, gap)
+    return score, i - p, i, j - q, j
+
+
+def local_udf(**scores):
+    """Arrow UDF (query, target) to struct(score, begin1, end1, begin2, end2)."""
+
+    @F.pandas_udf("score int, begin1 int, end1 int, begin2 int, end2 int")
+    def apply(query: pd.Series, target: pd.Series) -> pd.DataFrame:
+        rows = [(None,) * 5 if q is None or t is None else local_align(q, t, **scores) for q, t in zip(query, target)]
+        return pd.DataFrame(rows, columns=["score", "begin1", "end1", "begin2", "end2"]).astype("Int32")
+
+    return apply
 
 
 def semiglobal_udf(mode: str, most: int = -1):
@@ -99,10 +165,12 @@ def semiglobal_udf(mode: str, most: int = -1):
     return apply
 
 
-def cigar(extended: bool = False):
+def cigar(extended: bool = False, mode: str = "global"):
+    """Arrow UDF (query, target) to struct(distance, cigar)."""
+
     @F.pandas_udf("distance int, cigar string")
     def apply(query: pd.Series, target: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None) if q is None or t is None else path(q, t, extended) for q, t in zip(query, target)], columns=["distance", "cigar"])
+        return pd.DataFrame([(None, None) if q is None or t is None else path(q, t, extended, mode) for q, t in zip(query, target)], columns=["distance", "cigar"])
 
     return apply
 

@@ -214,6 +214,23 @@ def edit_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", infix.alias("i"), prefix.alias("p")).select("item_id", F.col("i.distance").alias("infix"), F.col("i.start").alias("start"), F.col("i.end").alias("end"), F.col("p.distance").alias("prefix"))
 
 
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's text with the next item's."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next_text"))
+    return dealt(items.join(after, "item_id").where("text is not null and next_text is not null"), 1 << 20)
+
+
+def edit_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance and CIGAR of the best global alignment of neighbouring items' texts."""
+    return _neighbours(spark, sf_dir).select("item_id", align.cigar(True)("text", "next_text").alias("a")).select("item_id", F.col("a.distance").alias("distance"), F.col("a.cigar").alias("cigar"))
+
+
+def local_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the best local alignment of neighbouring items' texts."""
+    return _neighbours(spark, sf_dir).select("item_id", align.local_udf()("text", "next_text")["score"].alias("score"))
+
+
 def d2_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = reads(spark, sf_dir)
     chats = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("read_id"), dna.text_to_dna(F.col("text")).alias("seq"))
@@ -359,6 +376,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fold_sequence": of_reads(lambda r: r.select("read_id", dna.fold(F.col("seq")).alias("folded"))),
     "edit_distance": edit_distance,
     "edit_modes": edit_modes,
+    "edit_paths": edit_paths,
+    "local_scores": local_scores,
     "d2_score": d2_score,
     "value_histogram": lambda spark, sf_dir: table(spark, sf_dir, "events").groupBy(F.floor(F.col("value") / 100).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n")),
     "iupac_mask": iupac_mask,
@@ -421,6 +440,49 @@ _TRIO = lambda i, name: f"""{_kmers(11, f'select * from ({_READS}) q where read_
 
 
 
+def _distances(name: str, source: str, infix: bool) -> str:
+    """Recursive tables of the rows of distances of q's beginnings to t's beginnings (in infix mode from any start), by item; the last one is of the whole q."""
+    first = "list_transform(range(0, length(t) + 1), lambda j: 0)" if infix else "range(0, length(t) + 1)"
+    return f"""{name}rows as (select item_id, q, t, 0 as i, {first} as row from {source} union all
+  select item_id, q, t, i + 1, list_transform(range(1, len(g) + 1), lambda j: list_min(g[1:j]) + j - 1) from (select *, list_transform(range(0, length(t) + 1), lambda j: case when j = 0 then i + 1 else least(row[j + 1] + 1, row[j] + (t[j] <> q[i + 1])::bigint) end - j) as g
+  from {name}rows where i < length(q)) x), {name}last as (select item_id, row from {name}rows where i = length(q))"""
+
+
+def _local_rows(source: str) -> str:
+    """Recursive table of the rows of local alignment scores (1, -1, -1)."""
+    return f"""rows as (select item_id, q, t, 0 as i, list_transform(range(0, length(t) + 1), lambda j: 0::bigint) as row from {source} union all
+  select item_id, q, t, i + 1, list_transform(range(1, len(g) + 1), lambda j: list_max(g[1:j]) - j + 1) from (select *, list_transform(range(0, length(t) + 1), lambda j: case when j = 0 then 0 else greatest(row[j + 1] - 1, row[j] + case when t[j] = q[i + 1] then 1 else -1 end, 0) end + j) as g
+  from rows where i < length(q)) x)"""
+
+
+# Factors of the published hashes, for their SQL on names of at most 15 bytes.
+_M2, _N2, _C1, _C2, _F1, _F2 = 0xC6A4A7935BD1E995, 0x5BD1E995, 0x87C37B91114253D5, 0x4CF5AD432745937F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
+
+
+def _little(part: str) -> str:
+    return f"coalesce(list_sum(list_transform({part}, lambda x, i: (x::hugeint << (8 * (i - 1))::int)))::uhugeint, 0::uhugeint)"
+
+
+def _chunks(size: int) -> str:
+    return f"list_transform(range(0, n // {size}), lambda j: {_little(f'b[j * {size} + 1:j * {size} + {size}]')})"
+
+
+def _tail(size: int) -> str:
+    return _little(f"b[n // {size} * {size} + 1:]")
+
+
+def _shifted(x: str, by: int) -> str:
+    return f"xor({x}, {x} >> {by})"
+
+
+def _rotated(x: str, by: int) -> str:
+    return f"(({x} * {2**by}::uhugeint) % {2**64} + ({x} >> {64 - by}))"
+
+
+def _signed(x: str) -> str:
+    return f"case when {x} >= {2**63} then ({x}::hugeint - {2**64})::bigint else {x}::bigint end"
+
+
 def _mix_sql(name: str, steps, bits: int) -> str:
     """Common table of an integer mix of the part keys, in unsigned 128-bit numbers modulo 2^bits."""
     out, most = "select p_partkey, p_partkey::uhugeint as x from part", 2**bits
@@ -519,6 +581,37 @@ b as (select xor(x, x >> 33) * 14181476777654086739 % {2**64} as x from a), d as
     "numbered_reads": f"with r as ({_READS}) select row_number() over (order by '@r' || read_id) as read_id, '@r' || read_id as id from r where seq <> ''",
     "count_text_round_trip": f"with {_kmers()} {_COUNT} having count(*) > 4",
     "table_round_trip": f"with {_kmers()}, c as ({_COUNT}) select {_PACKED} as packed, cnt from c",
+    "edit_modes": f"""
+with recursive t as (select item_id, substr(text, 11, 30) as q, text as t from benchmark), {_distances('inner_', 't', True)}, {_distances('prefix_', 't', False)},
+found as (select t.*, list_min(i.row) as infix, list_position(i.row, list_min(i.row)) - 1 as cut, list_min(p.row) as prefix from t join inner_last i using (item_id) join prefix_last p using (item_id)),
+turned as (select item_id, reverse(q) as q, reverse(t[1:cut]) as t from found), {_distances('back_', 'turned', False)}
+select item_id, infix::int as infix, case when cut = 0 then 0 else cut - (len(b.row) - list_position(list_reverse(b.row), list_min(b.row))) end::int as start, (cut - 1)::int as end, prefix::int as prefix from found join back_last b using (item_id)""",
+    "local_scores": f"""
+with recursive t as (select a.item_id, a.text as q, b.text as t from benchmark a join benchmark b on b.item_id = a.item_id + 1), {_local_rows('t')}
+select item_id, coalesce(max(list_max(row)), 0)::int as score from rows group by item_id""",
+    "hash_values": f"""
+with names as (select r_name as name from region union all select n_name from nation),
+b as (select name, list_transform(range(1, length(name) + 1), lambda i: ascii(substr(name, i, 1))::uhugeint) as b, length(name) as n from names),
+x as (select name, list_reduce(list_prepend(0::uhugeint, b), lambda h, c: (h * 31 + c) % {2**32})::bigint as x31 from b),
+m2 as (select name, {_chunks(8)} as c, {_tail(8)} as tail, n % 8 > 0 as more, xor({0x3FB0BB5F}::uhugeint, n::uhugeint * {_M2} % {2**64}) as h from b),
+m2a as (select *, list_reduce(list_prepend(h, c), lambda h, k: xor(h, {_shifted(f'(k * {_M2} % {2**64})', 47)} * {_M2} % {2**64}) * {_M2} % {2**64}) as g from m2),
+m2b as (select name, case when more then xor(g, tail) * {_M2} % {2**64} else g end as g from m2a),
+m2c as (select name, {_shifted('g', 47)} * {_M2} % {2**64} as g from m2b),
+m2d as (select name, {_signed(_shifted('g', 47))} as murmur2_64 from m2c),
+n2 as (select name, {_chunks(4)} as c, {_tail(4)} as tail, n % 4 > 0 as more, xor({0x3FB0BB5F}::uhugeint, n::uhugeint) as h from b),
+n2a as (select *, list_reduce(list_prepend(h, c), lambda h, k: xor(h * {_N2} % {2**32}, {_shifted(f'(k * {_N2} % {2**32})', 24)} * {_N2} % {2**32})) as g from n2),
+n2b as (select name, case when more then xor(g, tail) * {_N2} % {2**32} else g end as g from n2a),
+n2c as (select name, {_shifted('g', 13)} * {_N2} % {2**32} as g from n2b),
+n2d as (select name, {_shifted('g', 15)}::bigint as murmur2_32 from n2c),
+m3 as (select name, n, {_little('b[1:8]')} as k1, {_little('b[9:15]')} as k2 from b where n < 16),
+m3a as (select name, n, xor(313::uhugeint, {_rotated(f'(k1 * {_C1} % {2**64})', 31)} * {_C2} % {2**64}) as h1, case when n > 8 then xor(313::uhugeint, {_rotated(f'(k2 * {_C2} % {2**64})', 33)} * {_C1} % {2**64}) else 313::uhugeint end as h2 from m3),
+m3b as (select name, (xor(h1, n::uhugeint) + xor(h2, n::uhugeint)) % {2**64} as h1, xor(h2, n::uhugeint) as h2 from m3a),
+m3c as (select name, h1, (h1 + h2) % {2**64} as h2 from m3b),
+m3d as (select name, {_shifted('h1', 33)} * {_F1} % {2**64} as h1, {_shifted('h2', 33)} * {_F1} % {2**64} as h2 from m3c),
+m3e as (select name, {_shifted('h1', 33)} * {_F2} % {2**64} as h1, {_shifted('h2', 33)} * {_F2} % {2**64} as h2 from m3d),
+m3f as (select name, ({_shifted('h1', 33)} + {_shifted('h2', 33)}) % {2**64} as h from m3e),
+m3g as (select name, {_signed('h')} as murmur3_64 from m3f)
+select * from m3g join m2d using (name) join n2d using (name) join x using (name)""",
     "integer_mixes": "with " + ", ".join(_mix_sql(n, steps, bits) for n, steps, bits in MIXES) + " select * from jenkins_32 join jenkins_64 using (p_partkey) join wang_32 using (p_partkey)",
     "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by 1, 2",
 }

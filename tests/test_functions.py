@@ -1,5 +1,8 @@
 """Golden vectors and properties of the column functions."""
 
+import random
+import re
+
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
@@ -118,3 +121,42 @@ def test_packed_windows(rows, k):
     got = arrow.letters(arrow.packed_windows(code, k)[at], k).to_pylist()
     want = [r[i : i + k] for r in rows for i in range(len(r) - k + 1) if "N" not in r[i : i + k]]
     assert got == want and np.all(at >= 0)
+
+
+def test_paths_in_halves_and_modes(monkeypatch):
+    """Small tables only, so that queries are halved: the path is still a best one, and spells both texts."""
+    rng = random.Random(12)
+    for cells in (1 << 20, 40):
+        monkeypatch.setattr(align, "CELLS", cells)
+        for _ in range(60):
+            q, t = ("".join(rng.choice("ACé") for _ in range(rng.randrange(0, 25))) for _ in range(2))
+            for mode in align.MODES:
+                want, start, end = align.semiglobal(q, t, mode)
+                got, cigar = align.path(q, t, True, mode)
+                assert got == want
+                i, j = 0, start
+                for n, x in re.findall(r"(\d+)([=XID])", cigar):
+                    for _ in range(int(n)):
+                        assert x in "ID" or (q[i] == t[j]) == (x == "=")
+                        i, j = i + (x != "D"), j + (x != "I")
+                assert (i, j) == (len(q), end + 1)
+
+
+def test_banded_and_local():
+    rng = random.Random(13)
+    for _ in range(80):
+        q, t = ("".join(rng.choice("ACG") for _ in range(rng.randrange(0, 20))) for _ in range(2))
+        whole = align.semiglobal(q, t, "global")[0]
+        assert align.banded_distance(q, t, 20) == whole
+        for width in (0, 2, 5):
+            got = align.banded_distance(q, t, width)
+            assert got >= whole if abs(len(q) - len(t)) <= width else got == -1
+            assert got == whole or whole > width
+        score, a, b, c, d = align.local_align(q, t)
+        table = [[0] * (len(t) + 1) for _ in range(len(q) + 1)]
+        for i in range(1, len(q) + 1):
+            for j in range(1, len(t) + 1):
+                table[i][j] = max(0, table[i - 1][j] - 1, table[i][j - 1] - 1, table[i - 1][j - 1] + (1 if q[i - 1] == t[j - 1] else -1))
+        assert score == max(map(max, table))
+        inner = align.local_align(q[a:b], t[c:d])
+        assert inner[0] == score and (score == 0 or inner[1:] == (0, b - a, 0, d - c))
