@@ -87,6 +87,22 @@ def _batch(kind, anchor, strip, doc, start, windows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(kind, np.int32)), pa.array(anchor), pa.array(strip), pa.array(doc), pa.array(start), pa.array(np.asarray(windows, np.int32))], names=["kind", "anchor", "strip", "doc", "start", "windows"])
 
 
+def _runs(keys: tuple[np.ndarray, ...], start: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows of the runs of rows that have equal keys and follow one another in their text, and the runs' windows."""
+    if not len(start):
+        return np.zeros(0, np.int64), windows
+    fresh = np.concatenate(([True], start[1:] != start[:-1] + windows[:-1]))
+    for key in keys:
+        fresh[1:] |= key[1:] != key[:-1]
+    head = np.flatnonzero(fresh)
+    return head, np.add.reduceat(windows, head)
+
+
+def _merged(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    head, windows = _runs((doc,), start, windows)
+    return doc[head], start[head], windows
+
+
 def scan(texts: DataFrame, rule: Rule, n: int) -> DataFrame:
     """Strips of all texts. Copies within one Arrow batch are settled here, before the shuffle: only the earliest travels. Anchors of over 1/n of a batch's open strips are told."""
 
@@ -106,9 +122,16 @@ def scan(texts: DataFrame, rule: Rule, n: int) -> DataFrame:
             fresh = np.ones(len(doc), bool)
             fresh[1:] = (anchor[1:] != anchor[:-1]) | (strip[1:] != strip[:-1])
             kind = ~fresh if rule.within else doc > doc[np.maximum.accumulate(np.where(fresh, np.arange(len(doc)), 0))]
-            yield _batch(kind, np.where(kind, 0, anchor), np.where(kind, 0, strip), doc, start, windows)
-            own = anchor[~kind]
-            head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            gone = np.lexsort((start[kind], doc[kind]))  # settled strips that follow one another become one
+            d, s, w = _merged(doc[kind][gone], start[kind][gone], windows[kind][gone])
+            yield _batch(np.ones(len(d)), np.zeros(len(d), np.int64), np.zeros(len(d), np.int64), d, s, w)
+            # so do equal strips, as in a word's repetitions: what holds for one of them holds for all
+            own, strip, doc, start, windows = anchor[~kind], strip[~kind], doc[~kind], start[~kind], windows[~kind]
+            same = np.cumsum(np.concatenate(([True], (own[1:] != own[:-1]) | (strip[1:] != strip[:-1]))))
+            head, windows = _runs((same, doc), start, windows)
+            own, strip, doc, start = own[head], strip[head], doc[head], start[head]
+            yield _batch(np.zeros(len(own)), own, strip, doc, start, windows)
+            head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else head
             times = np.diff(np.append(head, len(own)))
             many = (times * n > len(own)) & (times > 1)
             if many.any():

@@ -165,6 +165,19 @@ def test_texts_that_fool_plain_hashes(spark):
     assert {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.dedup(frame).collect()} == brute_bytes(docs)
 
 
+def test_repetitions(spark):
+    """Repeated words, letters and lines, alone and beside other words, in few and in many copies."""
+    rng = random.Random(5)
+    other = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(other[: rng.randrange(40)] + [rng.choice("xy")] * rng.randrange(40, 130) + other[rng.randrange(40) :])) for i in range(60)]
+    docs += [(100 + i, "\n".join(["the same line again"] * rng.randrange(5, 40) + other[: i % 7])) for i in range(12)] + [(200, docs[0][1])] * 1
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert {r.doc_id: tuple(r)[1:4] for r in substring_dedup.dedup(frame).collect()} == brute_words(docs)
+    assert {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.dedup(frame).collect()} == brute_bytes(docs)
+    rows = spans.scan(frame, substring_dedup.RULE, 8).where("kind = 0").count()
+    assert rows < 60 * 40  # not one for each place of a repeated word
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.dedup(frame).count() == 0 and suffix_dedup.dedup(frame).count() == 0
