@@ -413,8 +413,9 @@ def merged(label: DataFrame, more: DataFrame) -> DataFrame:
         own = label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
         more = joined(more, own, end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
     over = components(more).select(F.col("node").alias("m"), F.col("component").alias("over"))
-    both = joined(label, over, label["component"] == over["m"], "full")
-    return both.select(F.coalesce("node", "m").alias("node"), F.coalesce("over", "component").alias("component"))
+    own = joined(label, over, label["component"] == over["m"], "left").select("node", F.coalesce("over", "component").alias("component"))
+    new = joined(over, label.select(F.col("component").alias("m")).distinct(), "m", "left_anti").select(F.col("m").alias("node"), F.col("over").alias("component"))
+    return own.unionAll(new)
 
 
 RESULT = "doc_id long, n_shingles long, component_id long, kept boolean"
