@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import joined, partitions, saved, stream_arrow
+from .common import joined, of_groups, partitions, saved, stream_arrow
 
 _PLACE = K.U((1 << 26) - 1)
 #: Units of one block of a text; longer texts are cut into blocks that overlap by length - 1, so that each window is in one.
@@ -217,35 +218,89 @@ def removed_spans(documents: DataFrame, rule: Rule, verdict: Callable[[list[byte
     marked = joined(open_, hot, "anchor", "left") if crowded else open_.withColumn("hot", F.lit(None).cast("boolean"))
     wanted = marked.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("strips"))
     cut = cut_strips(joined(texts, wanted, texts["doc_id"] == wanted["doc"]).select("doc_id", "text", "strips"), rule)
-    cut = saved(cut, f"{name}-cut") if crowded else cut
-    sent = cut.where("not hot").repartition(n, "anchor").sortWithinPartitions("anchor", "doc", "start")
-    spans = settled.unionAll(saved(decide(sent, rule, verdict), f"{name}-spans"))
-    return spans.unionAll(saved(crowded_spans(cut.where("hot"), rule), f"{name}-crowded")) if crowded else spans
+    sent = ["anchor", "doc", "start", "text"]
+    if crowded:
+        cut = saved(cut, f"{name}-cut")
+        parted, more = part_crowded(cut.where("hot").select(*sent), rule, n, name)
+        cut, settled = cut.where("not hot").select(*sent).unionAll(parted), settled.unionAll(span(more))
+    dealt = cut.select(*sent).repartition(n, "anchor").sortWithinPartitions("anchor", "doc", "start")
+    return settled.unionAll(saved(decide(dealt, rule, verdict), f"{name}-spans"))
 
 
-#: Different strips of one anchor that are judged together at most. More are judged by window, see ``crowded_spans``.
+#: Different strips of one anchor that are judged together at most. The strips of an anchor with more are parted first, see ``part_crowded``.
 HOT = 4096
 
 
-def crowded_spans(strips: DataFrame, rule: Rule) -> DataFrame:
-    """Spans of the repeated windows of strips whose anchor is too frequent for one task: every window goes by its hash, with partial aggregation of the earliest place, so no task holds an anchor's strips."""
+def part_crowded(strips: DataFrame, rule: Rule, n: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Parts the strips of crowded anchors until each anchor has HOT at most. Returns the strips to judge and those that equal an earlier one.
+
+    What all windows of a strip share, at first the anchor, is its core. A window reaches beyond its core by half of its
+    other units on one side at least. So a strip's windows part in two: those that reach so far to the left and the
+    others, which reach so far to the right. The cores grow by these units, and the grown core is the new anchor; equal
+    windows go the same way. After log2(length - gram) rounds at most the core is the window, and strips of one anchor
+    are equal.
+    """
+    place = F.struct("doc", F.col("start").alias("at"))
+    again = place > F.col("first.place") if rule.within else F.col("doc") > F.col("first.place.doc")
+    rows, core, open_, settled = strips.withColumn("core", F.lit(-1).cast("long")), rule.gram, [], []
+    while core < rule.length:
+        side = (rule.length - core + 1) // 2
+        halves = saved(part(rows, rule, core, side), f"{name}-halves")
+        core += side
+        by_doc = halves.groupBy("anchor", "strip", "doc").agg(F.min("start").alias("at"), F.count(F.lit(1)).alias("m"))
+        firsts = by_doc.groupBy("anchor", "strip").agg(F.min(F.struct(F.struct("doc", "at").alias("place"), "m")).alias("first"), F.sum("m").alias("copies"))
+        left = F.lit(1) if rule.within else F.col("first.m")  # copies that aren't settled
+        firsts = saved(firsts.withColumn("left", left), f"{name}-firsts")
+        kinds = firsts.groupBy("anchor").agg(F.sum("left").alias("n"), F.count(F.lit(1)).alias("size"))
+        groups = of_groups(firsts, kinds, ["anchor"], n).select("anchor", "strip", "first", F.col("copies").alias("size"), "n", (F.col("size") > 1).alias("several"))
+        judged = saved(of_groups(halves, groups, ["anchor", "strip"], n).select(*halves.columns, "n", "several", again.alias("again")), f"{name}-parted")
+        settled.append(judged.where("again").select("doc", "start", "windows"))
+        rest = judged.where("several and not again")
+        open_.append(rest.where(F.col("n") <= HOT).select("anchor", "doc", "start", "text"))
+        rows = rest.where(F.col("n") > HOT).select("anchor", "doc", "start", "text", "core")
+        if not rows.limit(1).count():
+            break
+    union = lambda frames: reduce(DataFrame.unionAll, frames)
+    return union(open_), union(settled)
+
+
+PARTS = "anchor long, strip long, doc long, start long, windows int, core long, text binary"
+
+
+def part(strips: DataFrame, rule: Rule, core: int, side: int) -> DataFrame:
+    """The two parts of each strip, whose cores are ``side`` units longer. A negative place of the core stands for that of the anchor, its k-gram's first place in the strip."""
 
     def run(batches):
         for batch in batches:
-            anchor, doc, start = (batch.column(i).to_numpy() for i in range(3))
+            if not batch.num_rows:
+                continue
+            anchors, docs, starts, cores = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
             for low, high, data, offsets in K.pieces(batch.column(3)):
                 u = units(data, offsets, rule)
-                count = np.maximum(0, np.diff(u.first) - rule.length + 1)
-                row = np.repeat(np.arange(high - low), count)
-                inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                at = inner + u.first[row]
-                h = K.span_hash(u.sums, at, at + rule.length)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[low:high][row]), pa.array(h.view(np.int64)), pa.array(doc[low:high][row]), pa.array(start[low:high][row] + inner)], names=["anchor", "window", "doc", "at"])
-
-    windows = stream_arrow(strips.select("anchor", "doc", "start", "text"), "anchor long, window long, doc long, at long", run)
-    first = windows.groupBy("anchor", "window").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = (F.struct("doc", "at") > F.col("first")) if rule.within else (F.col("doc") > F.col("first.doc"))
-    return joined(windows, first, ["anchor", "window"]).where(again).select("doc", F.col("at").alias("low"), (F.col("at") + rule.length).alias("high"))
+                anchor, doc, start, at = anchors[low:high], docs[low:high], starts[low:high], cores[low:high]
+                if (at < 0).any():
+                    row, gram = K.rows_of(u.first), K.gram_hash(u.sums, rule.gram)
+                    hit = np.flatnonzero(gram == anchor.view(np.uint64)[row[: len(gram)]])
+                    own, where = np.unique(row[hit], return_index=True)
+                    at = at.copy()
+                    at[own] = hit[where] - u.first[own]
+                count = np.diff(u.first) - rule.length + 1
+                many = np.clip(at - side + 1, 0, count)
+                out = []
+                for right in (0, 1):
+                    begin, number = (many, count - many) if right else (np.zeros_like(many), many)
+                    ok = number > 0
+                    b, w, f = begin[ok], number[ok], u.first[:-1][ok]
+                    c = at[ok] - (0 if right else side)  # the longer core's place
+                    key = K.mix(anchor.view(np.uint64)[ok] + K.U(right)) ^ K.span_hash(u.sums, f + c, f + c + core + side)
+                    end = b + w + rule.length - 1
+                    x, y = (u.starts[f + b], u.ends[f + end - 1]) if rule.words else (f + b, f + end)
+                    strip = K.span_hash(u.sums, f + b, f + end)
+                    out.append((key.view(np.int64), strip.view(np.int64), doc[ok], start[ok] + b, w.astype(np.int32), c - b, [bytes(data[i:j]) for i, j in zip(x, y)]))
+                columns = [pa.array(np.concatenate(x)) for x in list(zip(*out))[:6]] + [pa.array(out[0][6] + out[1][6], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PARTS.split(", ")])
+
+    return stream_arrow(strips, PARTS, run)
 
 
 def cut_strips(rows: DataFrame, rule: Rule) -> DataFrame:

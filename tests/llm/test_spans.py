@@ -78,7 +78,7 @@ def brute_bytes(docs, length=100):
 def test_dedup(spark, monkeypatch, small):
     docs = corpus(7 + small)
     if small:
-        monkeypatch.setattr(spans, "HOT", 2)  # so that crowded anchors are judged by window
+        monkeypatch.setattr(spans, "HOT", 2)  # so that crowded anchors are parted
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         frame = spark.createDataFrame([(d, t, "clash", 0) for d, t in docs] + [(None, docs[0][1], "c", 1)], "doc_id long, text string, spans string, low int").repartition(5)
@@ -141,6 +141,53 @@ def test_long_text_blocks(monkeypatch):
     assert (start[1:] == start[:-1] + windows[:-1]).all()
 
 
+def test_parts_hold_each_window_once_and_equal_windows_meet(spark):
+    rng = random.Random(4)
+    middle = [f"m{i}" for i in range(20)]
+    side = lambda: [rng.choice("ab") for _ in range(40)]
+    texts = [" ".join(side() + middle + side()) for _ in range(30)]
+    rule = substring_dedup.RULE
+    found = [r for r in spans.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rule, 8).where("kind = 0").collect()]
+    rows = [(r.anchor, r.doc, r.start, " ".join(texts[r.doc].split()[r.start : r.start + r.windows + rule.length - 1]).encode()) for r in found]
+    windows = {(r.doc, r.start + i) for r in found for i in range(r.windows)}
+    frame, core = spark.createDataFrame([(*r, -1) for r in rows], "anchor long, doc long, start long, text binary, core long"), rule.gram
+    while core < rule.length:
+        side_units = (rule.length - core + 1) // 2
+        parts = spans.part(frame, rule, core, side_units).collect()
+        core += side_units
+        own = [(r.doc, r.start + i) for r in parts for i in range(r.windows)]
+        assert len(own) == len(windows) and set(own) == windows
+        keys = {}
+        for r in parts:
+            words = texts[r.doc].split()
+            for i in range(r.windows):
+                assert r.start + i <= r.start + r.core and r.start + r.core + core <= r.start + i + rule.length
+                keys.setdefault(tuple(words[r.start + i : r.start + i + rule.length]), set()).add(r.anchor)
+        assert all(len(k) == 1 for k in keys.values())
+        frame = spark.createDataFrame([(r.anchor, r.doc, r.start, bytes(r.text), r.core) for r in parts], frame.schema)
+    assert all(r.windows == 1 for r in parts)
+
+
+def test_crowded_anchors(spark, monkeypatch):
+    """One passage with many different neighbours: no more than HOT different strips are judged together."""
+    rng = random.Random(6)
+    middle = [f"m{i}" for i in range(25)]
+    tails = [[rng.choice("abc") for _ in range(40)] for _ in range(6)]
+    docs = []
+    for i in range(150):
+        tail = rng.choice(tails)[: rng.randrange(10, 40)] + [f"t{i}"]
+        head = [f"h{i}"] + rng.choice(tails)[rng.randrange(30) :]
+        docs.append((i, " ".join(head + middle + tail)))
+    monkeypatch.setattr(spans, "HOT", 6)
+    sizes = []
+    decide = spans.decide
+    monkeypatch.setattr(spans, "decide", lambda sent, *rest: sizes.append(sent.groupBy("anchor").count().agg({"count": "max"}).first()[0]) or decide(sent, *rest))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert {r.doc_id: tuple(r)[1:4] for r in substring_dedup.dedup(frame).collect()} == brute_words(docs)
+    assert {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.dedup(frame).collect()} == brute_bytes(docs)
+    assert len(sizes) == 2 and all(x <= 6 for x in sizes)
+
+
 def test_merge_orders_like_sorting():
     rng = np.random.default_rng(2)
     shards = [np.append(rng.integers(1, 3, n), 0) for n in (50, 70, 31)]
