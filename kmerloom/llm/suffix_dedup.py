@@ -4,8 +4,8 @@ Strips of the corpus that share an anchor (see ``spans``) are dealt to shards. E
 prefix doubling, which gives its Burrows-Wheeler transform and LF mapping. The shards' orders are then merged without
 sorting suffixes again: starting from an interleave that only keeps each shard's own order, every round deals the rows
 stably by the symbols before them and follows the LF mapping, which refines the interleave by a fixed number of symbols
-(as in Holt and McMillan's merge; rounds take STRIDE symbols at once). Blocks of rows that are not parted after d symbols
-share a prefix of d symbols: after 100 symbols, blocks are the repeated intervals.
+(as in Holt and McMillan's merge; rounds take STRIDE symbols at once). The round that parts two neighbouring rows tells
+their common prefix, up to 100 symbols; runs of rows whose common prefixes reach 100 are the repeated intervals.
 """
 
 from __future__ import annotations
@@ -46,8 +46,8 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
 def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Merges the shards' sorted suffixes down to ``depth`` symbols (a multiple of STRIDE).
 
-    Returns the merged order as positions in the concatenation of the shards, and each row's block number: rows are in
-    one block if and only if their first ``depth`` symbols agree.
+    Returns the merged order as positions in the concatenation of the shards, and the length of each row's common prefix
+    with the row before it, ``depth`` at most (0 for the first row).
     """
     base = np.concatenate(([0], np.cumsum([len(s) for s in shards])))
     total = int(base[-1])
@@ -70,16 +70,27 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
     narrow = len(kinds) <= 1 << 16
     low_code, high_code = code.astype(np.uint16) if narrow else (code & 0xFFFF).astype(np.uint16), None if narrow else (code >> 16).astype(np.uint16)
     rows, block = np.arange(total), np.zeros(total, np.int64)
-    for _ in range(depth // STRIDE):
+    common = np.full(total, depth)  # whole rounds before the row was parted from the one before it
+    for d in range(0, depth, STRIDE):
         order = np.argsort(low_code[rows], kind="stable")
         if high_code is not None:
             order = order[np.argsort(high_code[rows[order]], kind="stable")]
         moved = rows[order]
         mark, part = code[moved], block[order]
-        fresh = np.zeros(total, np.int64)
+        fresh = np.zeros(total, bool)
         fresh[1:] = (mark[1:] != mark[:-1]) | (part[1:] != part[:-1])
         rows, block = before[moved], np.cumsum(fresh)
-    return suffix[rows], block
+        common[fresh & (common == depth)] = d  # parted rows stay parted, at the same places
+    place = suffix[rows]
+    common[:1] = 0
+    row = np.flatnonzero(common[1:] < depth) + 1  # their first unequal symbol is one of the round's
+    symbols, own = np.concatenate(shards), np.searchsorted(base, place, "right") - 1
+    low, size, whole = base[own], np.diff(base)[own], common[row]
+    equal = np.ones(len(row), bool)
+    for j in range(STRIDE - 1):
+        equal &= np.equal(*(symbols[low[r] + (place[r] - low[r] + whole + j) % size[r]] for r in (row - 1, row)))
+        common[row] += equal
+    return place, common
 
 
 def repeats(texts: list[bytes], anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, rule: S.Rule = RULE):
@@ -102,7 +113,8 @@ def repeats(texts: list[bytes], anchor: np.ndarray, doc: np.ndarray, start: np.n
         shards.append(symbols)
         places.append(np.column_stack((row, np.arange(len(symbols)) - np.repeat(ends - size, size), np.repeat(ends, size) - 1 - np.arange(len(symbols)))))
     at = np.concatenate(places)
-    order, block = merge(shards, length)
+    order, common = merge(shards, length)
+    block = np.cumsum(common < length)  # the repeated interval
     row, offset, left = at[order].T
     whole = left >= length
     row, offset, block = row[whole], offset[whole], block[whole]
