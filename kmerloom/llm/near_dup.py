@@ -407,14 +407,16 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int, n: int
     return stream_arrow(rows, "a long, b long", run).distinct()
 
 
-def merged(label: DataFrame, more: DataFrame) -> DataFrame:
-    """Labels after more links: only the components that these join are looked at again. A node without a label is a component of its own."""
+def merged(label: DataFrame, more: DataFrame, n: int) -> DataFrame:
+    """Labels after more links: only the components that these join are looked at again. A node without a label is a component of its own. No task gathers a component's labels."""
     for end in ("a", "b"):
         own = label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
         more = joined(more, own, end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
     over = components(more).select(F.col("node").alias("m"), F.col("component").alias("over"))
-    own = joined(label, over, label["component"] == over["m"], "left").select("node", F.coalesce("over", "component").alias("component"))
-    new = joined(over, label.select(F.col("component").alias("m")).distinct(), "m", "left_anti").select(F.col("m").alias("node"), F.col("over").alias("component"))
+    sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    groups = joined(sizes, over, sizes["component"] == over["m"], "left").select("component", "size", F.coalesce("over", "component").alias("over"))
+    own = of_groups(label, groups, ["component"], n).select("node", F.col("over").alias("component"))
+    new = joined(over, sizes.select(F.col("component").alias("m")), "m", "left_anti").select(F.col("m").alias("node"), F.col("over").alias("component"))
     return own.unionAll(new)
 
 
@@ -455,7 +457,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, words: int = WORDS)
     rows = joined(likely.where("other is null").drop("other"), joined(signs.select("doc", "sig"), kept_texts.withColumnRenamed("doc_id", "doc"), "doc"), "doc")
     more = saved(confirm(few, kept_texts, percent, words, n).unionAll(crossing(rows, percent, words, n)), "near-confirmed")
     if more.limit(1).count():
-        label = saved(merged(label, more), "near-labels")
+        label = saved(merged(label, more, n), "near-labels")
 
     several = joined(classes.where("size > 1"), label, F.col("rep") == F.col("node"), "left").select(*same, "size", F.coalesce("component", "rep").alias("of_class"))
     copies = of_groups(full.select("doc_id", *same), several, same, n).select("doc_id", *same, "of_class").distinct()
