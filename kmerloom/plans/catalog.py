@@ -200,8 +200,8 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of neighbouring items' texts. Letters beyond ASCII are left out on both sides: the SQL counts bytes."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
+    """Distance of neighbouring items' whole texts, in UTF-8 bytes, as the SQL counts."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("text"))
     after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next_text"))
     d = align.edit_distance(F.col("text"), F.col("next_text"))
     return items.join(after, "item_id").select("item_id", d.cast("long").alias("distance"), F.when(d <= 100, d).otherwise(-1).cast("long").alias("within_100"))
@@ -287,6 +287,14 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.event_windows(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user's events: gaps of over 30 minutes part them."""
+    from ..streaming import counts
+
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return counts.sessions(table(spark, sf_dir, "events")).select("user_id", stamp("start"), stamp("end"), "n")
+
+
 def item_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct 17-mers of the benchmark's texts, as DNA."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read_id"), dna.text_to_dna(F.col("text")).alias("seq"))
@@ -389,6 +397,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "seed_alignment": seed_alignment,
     "log_fields": log_fields,
     "event_windows": event_windows,
+    "event_sessions": event_sessions,
     "table_lookup": table_lookup,
     "table_delete": table_delete,
     "heavy_hitter_index": heavy_hitter_index,
@@ -544,7 +553,7 @@ where y not in (select kmer from pa) and x not in (select kmer from pb)""",
 select page_id, case when f < 2 then n || '/' || e else n end as name, case when f < 4 then n || '/' || e else n end as paired, n as base, case when f < 4 then e else 0 end as end,
 case when f < 2 then length(n) + 1 when f < 4 then length(n) + 1 else 0 end as pair_index, '@0b' || lower(hex(page_id)) || case when f < 4 then '/' || e else '' end as compact from p""",
     "fold_sequence": f"with r as ({_READS}) select read_id, regexp_replace(rtrim(regexp_replace(seq, '(.{{50}})', '\\1' || chr(10), 'g'), chr(10)), '$', '') || chr(10) as folded from r",
-    "edit_distance": "with t as (select item_id, regexp_replace(text, '[^ -~]', '', 'g') as text from benchmark) select a.item_id, levenshtein(a.text, b.text) as distance, case when levenshtein(a.text, b.text) <= 100 then levenshtein(a.text, b.text) else -1 end as within_100 from t a join t b on b.item_id = a.item_id + 1",
+    "edit_distance": "with t as (select item_id, text from benchmark) select a.item_id, levenshtein(a.text, b.text) as distance, case when levenshtein(a.text, b.text) <= 100 then levenshtein(a.text, b.text) else -1 end as within_100 from t a join t b on b.item_id = a.item_id + 1",
     "d2_score": f"""with {_kmers(8)}, {_kmers(8, _READS.replace('doc_id + 1', 'conv_id').replace('documents', 'conversations'), 'chats')}, a as (select kmer, count(*) as x from kmers group by 1), b as (select kmer, count(*) as y from chats group by 1)
 select sum(x * y)::bigint as d2 from a join b using (kmer)""",
     "value_histogram": "select floor(value / 100)::bigint as bucket, count(*) as n from events group by 1",
@@ -613,5 +622,9 @@ m3f as (select name, ({_shifted('h1', 33)} + {_shifted('h2', 33)}) % {2**64} as
 m3g as (select name, {_signed('h')} as murmur3_64 from m3f)
 select * from m3g join m2d using (name) join n2d using (name) join x using (name)""",
     "integer_mixes": "with " + ", ".join(_mix_sql(n, steps, bits) for n, steps, bits in MIXES) + " select * from jenkins_32 join jenkins_64 using (p_partkey) join wang_32 using (p_partkey)",
+    "event_sessions": """
+        with m as (select user_id, ts, case when ts <= lag(ts) over (partition by user_id order by ts) + interval 30 minutes then 0 else 1 end as fresh from events where ts is not null),
+        s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from m)
+        select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as start, strftime(max(ts) + interval 30 minutes, '%Y-%m-%d %H:%M:%S.%f') as "end", count(*) as n from s group by user_id, k""",
     "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by 1, 2",
 }
