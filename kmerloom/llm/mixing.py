@@ -93,7 +93,7 @@ def _fly(frame: DataFrame, keys: list[str], last: bool) -> DataFrame:
             if end and last:
                 p[left] = landing(size[left], p[left])
                 left = left[:0]
-            t = t.set_column(t.schema.get_field_index("p"), "p", pa.array(p))
+            t = t.set_column(t.schema.get_field_index("p"), t.schema.field("p"), pa.array(p))  # the field as it was: what is held joins later batches of its group
             held = [] if end else t.take(pa.array(left)).to_batches()
             if not end:
                 mask = np.ones(len(p), bool)
