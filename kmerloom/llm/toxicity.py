@@ -6,6 +6,7 @@ The expected severity is the sum of these probabilities.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,6 +52,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return K.span_hash(K.byte_prefix(plain), starts, ends), first
 
 
+def runs(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of whole texts of about a piece's size, so that training holds no array over all the bytes."""
+    low, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held >= K.PIECE or i + 1 == len(texts):
+            yield low, *L.texts_of(texts[low : i + 1])
+            low, held = i + 1, 0
+
+
+def features_of(texts: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, count) of the feature words in each text."""
+    parts = [(low + row, column, count) for low, data, offsets in runs(texts) for row, column, count in [features(data, offsets, keys)]]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+
+
 def features(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, count) of the feature words in each row."""
     h, first = word_hashes(data, offsets)
@@ -68,15 +85,18 @@ def features(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> tuple[n
 
 def lexicon(texts: list[str | None], y: np.ndarray) -> np.ndarray:
     """Hashes of words associated with toxic rows: at least twice as frequent in them as in clean rows, whatever the classes' shares of the sample."""
-    data, offsets = L.texts_of(texts)
-    h, first = word_hashes(data, offsets)
-    row = K.rows_of(first)
-    order = np.lexsort((row, h))
-    h, row = h[order], row[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    keys, where = np.unique(h[fresh], return_inverse=True)
-    bad = np.bincount(where, y[row[fresh]], len(keys))
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for low, data, offsets in runs(texts):
+        h, first = word_hashes(data, offsets)
+        row = K.rows_of(first)
+        order = np.lexsort((row, h))
+        h, row = h[order], row[order]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        parts.append((h[fresh], low + row[fresh]))
+    h, row = (np.concatenate(x) for x in zip(*parts))
+    keys, where = np.unique(h, return_inverse=True)
+    bad = np.bincount(where, y[row], len(keys))
     total = np.bincount(where, minlength=len(keys))
     n, n1 = len(y), max(1, y.sum())
     g = np.zeros(len(keys))
@@ -105,8 +125,7 @@ def fit(texts: list[str | None], y: np.ndarray, whole: tuple[int, int] | None =
     keys = lexicon(texts, y)
     if not len(keys):
         return None
-    data, offsets = L.texts_of(texts)
-    row, column, count = features(data, offsets, keys)
+    row, column, count = features_of(texts, keys)
     grade = grades(np.bincount(row, count, len(y)), y)
     weight = np.ones(len(y))
     if whole and min(whole):
