@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.plans import catalog, session
-from kmerloom.operators import align, kmers, overlap, sketches, supermers, variants
+from kmerloom.operators import align, kmers, overlap, read_cells, sketches, supermers, variants
 from kmerloom.sources import fastq, runlog, synthetic
 from kmerloom.streaming import counts as streaming
 
@@ -118,6 +118,43 @@ def test_seed_alignment_query(spark, tmp_path):
     assert {p: a[2] for p, a in got.items()} == {p: s for p, s in want.items() if s >= 50}
 
 
+def test_seed_alignment_moves_no_pairs(spark, tmp_path):
+    """No exchange or join holds rows of pairs, and the cells give what the pairs with their reads give."""
+    letter = lambda n: "".join(random.choice("ACGT") for _ in range(n))
+    flip = str.maketrans("ACGT", "TGCA")
+    base = [letter(400) for _ in range(6)]
+    seqs = ["", "A" * 60, "A" * 70]
+    for _ in range(24):
+        part = random.choice(base)[random.randrange(200) :]
+        part = "".join(random.choice([c] * 30 + ["", "N", c + "T"]) for c in part) + letter(random.randrange(60))
+        seqs.append(part.translate(flip)[::-1] if random.random() < 0.3 else part)
+    frame = spark.createDataFrame([*enumerate(seqs, -3), (None, seqs[5])], "read_id long, seq string").repartition(3)
+    for scores in ({}, {"mismatch": -2, "drop": 9}):
+        want = align.align_overlaps(overlap.shared_places(frame, K, 2, 8), frame, K, minimum=0, **scores)
+        got = read_cells.align_reads(frame, K, 2, 8, **scores)
+        assert got.schema == want.schema
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 20
+    spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    query = catalog.QUERIES["seed_alignment"](spark, str(tmp_path))
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and query.count() == 0
+
+
+def test_reach():
+    """Columns of bytes against plain rows, with pairs whose live cells spread to hundreds of diagonals."""
+    base = "".join(random.choice("ACGT") for _ in range(600))
+    pairs = [(base, "".join(base[i : i + 15] + "G" for i in range(0, 600, 15))), ("AC" * 200, "CA" * 200), ("", "A"), ("N" * 9, "N" * 9)]
+    for _ in range(30):
+        a, b = ("".join(random.choice("ACGT") for _ in range(random.randrange(300))) for _ in range(2))
+        pairs += [(a, b), (a, "".join(random.choice(["", c, c, c, c, c, c, c + "T", "A"]) for c in a))]
+    gap = bytes([read_cells.GAP]) * read_cells.SPAN
+    flat = gap + b"".join(x.encode() + gap for p in pairs for x in p)
+    begin = np.cumsum([len(gap), *(len(x) + len(gap) for p in pairs for x in p)])[:-1]
+    for drop in (0, 7, 15):
+        got = read_cells.reach(np.frombuffer(flat, np.uint8), begin[::2], begin[1::2], False, drop)
+        assert list(zip(*(x.tolist() for x in got))) == [plain_extend(*p, drop) for p in pairs]
+
+
 def test_snp(spark):
     frame = lambda rows: spark.createDataFrame(rows, "kmer string, cnt long")
     child = frame([("ACGA", 45), ("ACGT", 44), ("CCCA", 45), ("CCCG", 45), ("CCCT", 45), ("TTTA", 45), ("TTTC", 10)])
