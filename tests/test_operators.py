@@ -155,6 +155,26 @@ def test_reach():
         assert list(zip(*(x.tolist() for x in got))) == [plain_extend(*p, drop) for p in pairs]
 
 
+def test_reach_is_one_call_for_both_ways():
+    """Turned pairs beside others in one call, more pairs than advance together, and live cells that become many and few again; rows go as bits, not as a byte a diagonal."""
+    flip = str.maketrans("ACGT", "TGCA")
+    letter = lambda n: "".join(random.choice("ACGT") for _ in range(n))
+    pairs = [(letter(300) + "AC" * 90 + (c := letter(300)), letter(200) + "CA" * 120 + c) for _ in range(4)]
+    pairs += [(c := "".join(random.choice("ACGTN") for _ in range(random.randrange(200))), "".join(random.choice([x, x, x, x, x + "A", ""]) for x in c)) for _ in range(40)]
+    turned = np.array([random.random() < 0.5 for _ in pairs])
+    gap = bytes([read_cells.GAP]) * read_cells.SPAN
+    texts = [x.encode() for (a, b), way in zip(pairs, turned) for x in (a, b.translate(flip) if way else b)]
+    begin = np.cumsum([len(gap), *(len(x) + len(gap) for x in texts)])[:-1]
+    text = read_cells.Letters(np.frombuffer(gap + b"".join(x + gap for x in texts), np.uint8))
+    many = np.arange(read_cells.PAIRS + 300) % len(pairs)
+    for drop in (7, 20):
+        got = list(zip(*(x.tolist() for x in read_cells.reach(text, begin[::2][many], begin[1::2][many], turned[many], drop))))
+        want = [plain_extend(*p, drop) for p in pairs]
+        assert got == [want[i] for i in many]
+    row, past, edge = read_cells._advanced(text, np.full((8, 1, 3), 1 << 32, np.uint64), begin[:3], begin[:3] - 32, np.zeros(3, bool))
+    assert row.nbytes == 8 * 8 * 3 and past.shape == (read_cells.STEPS, 1, 3)
+
+
 def test_snp(spark):
     frame = lambda rows: spark.createDataFrame(rows, "kmer string, cnt long")
     child = frame([("ACGA", 45), ("ACGT", 44), ("CCCA", 45), ("CCCG", 45), ("CCCT", 45), ("TTTA", 45), ("TTTC", 10)])
